@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions.keys import open_end, source_key, ticker_key
 from chronopanel.llm.abuse import abuse_rates, abuse_scores
+from chronopanel.llm.linkage import GENERIC_WORDS, NOTE_WORDS, name_words, soft_match, words_similarity
 from chronopanel.llm.mixing import mix_sources
 from chronopanel.llm.packing import pack_containers
 from chronopanel.llm.tokens import token_counts
 from chronopanel.llm.truth import chain_groups, discover_truth
-from chronopanel.session import table
+from chronopanel.operators.history import version_history
+from chronopanel.session import checkpoint, table
 
 #: Fields of a membership claim that are resolved one by one.
 FIELDS = ("effective_date", "removal_date", "announcement_date", "source_reference")
@@ -74,6 +76,111 @@ def p1_sources(spark: SparkSession, d: str) -> DataFrame:
     return _discover(spark, d, False)[1].select(F.col("src").alias("source_key"), F.round("reliability", 6).alias("reliability"), "votes")
 
 
+def _digits(c: str) -> Column:
+    return F.nullif(F.regexp_replace(F.regexp_replace(F.col(c), "[^0-9]", ""), "^0+", ""), F.lit(""))
+
+
+def _near(a: Column, b: Column) -> Column:
+    """One edit, or two neighbours exchanged."""
+    letters = lambda x: F.array_sort(F.split(x, ""))
+    return (F.levenshtein(a, b) == 1) | ((F.levenshtein(a, b) == 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)))
+
+
+def listing_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs with support and grounds against, and each row's class of exact copies."""
+    far_past, far_future = F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date")
+    sec = table(spark, d, "securities").where("security_id is not null")
+    sec = sec.select("security_id", ticker_key("primary_ticker").alias("primary"), _digits("cik").alias("cik"), name_words(F.col("name"), GENERIC_WORDS).alias("words"), F.upper(F.coalesce(F.nullif(F.regexp_extract(F.coalesce("name", F.lit("")), r"(?i)\bcl(?:ass)?\.?\s+([A-Z])\s*$", 1), F.lit("")), F.nullif(F.regexp_extract(F.trim("primary_ticker"), r"[./\- ]([A-Za-z])$", 1), F.lit("")))).alias("cls"))
+    # Tickers with the time a security bore them. What the first version was before
+    # it was first seen is unknown, so that version reaches back without end.
+    key = ticker_key("ticker")
+    gone = F.coalesce(F.lower(F.trim("listing_status")) == "delisted", F.lit(False))
+    seen = (
+        table(spark, d, "ticker_history")
+        .select("security_id", F.col("valid_from").alias("day"), key.alias("k"), F.lit(None).cast("timestamp").alias("at"))
+        .where("k is not null")
+        .unionByName(table(spark, d, "ticker_snapshots").select("security_id", F.col("snapshot_date").alias("day"), F.when(~gone, key).alias("k"), F.col("loaded_at").alias("at"), gone.alias("gone")).where("k is not null or gone").drop("gone"))
+    )
+    hist = version_history(seen, "security_id", "day", "k", "at")
+    first = hist.groupBy("security_id").agg(F.min("valid_from").alias("first"))
+    born = hist.join(first, "security_id").select("security_id", F.col("value").alias("tick"), F.when(F.col("valid_from") == F.col("first"), far_past).otherwise(F.col("valid_from")).alias("since"), F.col("valid_to").alias("until"))
+    now = sec.where("primary is not null").select("security_id", F.col("primary").alias("tick"), F.lit(None).cast("date").alias("since"), far_future.alias("until"))
+    ticks = born.unionByName(now).groupBy("security_id", "tick").agg(F.collect_list(F.struct(F.coalesce("since", far_past).alias("since"), "until", F.col("since").isNull().alias("vague"))).alias("times"))
+    ticks = ticks.select("security_id", "tick", F.coalesce(F.nullif(F.filter("times", lambda t: ~t["vague"]), F.array().cast("array<struct<since:date,until:date,vague:boolean>>")), F.col("times")).alias("times"))
+
+    listed = F.regexp_extract(F.coalesce("notes", F.lit("")), r"\(listing ([A-Za-z0-9.\-]+)\)", 1)
+    ident = table(spark, d, "known_identifiers_seed").where("identifier_id is not null")
+    ident = ident.select(
+        "identifier_id",
+        ticker_key("ticker").alias("tick"),
+        F.nullif(ticker_key(listed), F.lit("")).alias("tick2"),
+        _digits("cik").alias("cik"),
+        F.nullif(F.regexp_replace(F.upper("isin"), "[^A-Z0-9]", ""), F.lit("")).alias("isin"),
+        name_words(F.regexp_replace(F.coalesce("notes", F.lit("")), r"\(listing [^)]*\)|8-K", " "), GENERIC_WORDS | NOTE_WORDS).alias("words"),
+        F.upper(F.coalesce(F.nullif(F.regexp_extract(F.trim("ticker"), r"[./\- ]([A-Za-z])$", 1), F.lit("")), F.nullif(F.regexp_extract(listed, r"[./\-]([A-Za-z])$", 1), F.lit("")))).alias("cls"),
+        F.coalesce("valid_from", far_past).alias("since"),
+        F.coalesce("valid_to", far_future).alias("until"),
+    )
+    # Exact copies are matched once; the classes are joined back at the end.
+    said = ["tick", "tick2", "cik", "isin", "words", "cls", "since", "until"]
+    copies = checkpoint(ident.withColumn("copy_of", F.min("identifier_id").over(Window.partitionBy(F.xxhash64(*said), *said))))
+    rep = copies.where("identifier_id = copy_of").drop("copy_of").withColumnRenamed("identifier_id", "rid")
+
+    by_tick = rep.select("rid", F.explode(F.array_compact(F.array("tick", "tick2"))).alias("tick")).distinct().join(ticks.select("security_id", "tick"), "tick").select("security_id", "rid")
+    by_cik = rep.where("cik is not null").select("rid", "cik").join(sec.where("cik is not null").select("security_id", "cik"), "cik").select("security_id", "rid")
+    by_word = rep.select("rid", F.explode("words").alias("w")).join(sec.select("security_id", F.explode("words").alias("w")), "w").select("security_id", "rid")
+    found = by_tick.unionByName(by_cik).unionByName(by_word).distinct()
+    same = rep.where("isin is not null").select("rid", "isin")
+    by_isin = found.join(same, "rid").select("security_id", "isin").distinct().join(same, "isin").select("security_id", "rid")
+    cand = found.unionByName(by_isin).distinct()
+
+    own = ticks.groupBy("security_id").agg(F.collect_list(F.struct("tick", "times")).alias("ticks"))
+    p = cand.join(rep.select("rid", *[F.col(c).alias(f"i_{c}") for c in said]), "rid").join(sec, "security_id").join(own, "security_id", "left")
+    mine = F.coalesce("ticks", F.array().cast(own.schema["ticks"].dataType))
+    equal = lambda t: F.coalesce((t["tick"] == F.col("i_tick")) | (t["tick"] == F.col("i_tick2")), F.lit(False))
+    during = lambda t: F.exists(t["times"], lambda x: (x["since"] < F.col("i_until")) & (F.col("i_since") < x["until"]))
+    sim = words_similarity(F.col("words"), F.col("i_words"))
+    p = p.select(
+        "security_id",
+        "rid",
+        "i_isin",
+        F.exists(mine, lambda t: equal(t) & during(t)).alias("t_now"),
+        F.exists(mine, equal).alias("t_ever"),
+        F.exists(mine, lambda t: F.coalesce(_near(t["tick"], F.col("i_tick")), F.lit(False)) & during(t)).alias("t_near"),
+        F.coalesce(F.col("cik") == F.col("i_cik"), F.lit(False)).alias("c_same"),
+        F.coalesce(_near(F.col("cik"), F.col("i_cik")), F.lit(False)).alias("c_near"),
+        F.coalesce(F.col("cik") != F.col("i_cik"), F.lit(False)).alias("c_diff"),
+        sim.alias("sim"),
+        F.coalesce(F.col("cls") != F.col("i_cls"), F.lit(False)).alias("k_diff"),
+        (F.col("cls").isNotNull() & F.col("i_cls").isNotNull() & (F.col("cls") == F.col("i_cls"))).alias("k_same"),
+    )
+    yes = lambda c, w: F.when(c, w).otherwise(0.0)
+    support = (
+        F.when(F.col("t_now"), 2.0).when(F.col("t_near"), 0.8).when(F.col("t_ever"), 0.4).otherwise(0.0)
+        + F.when(F.col("c_same"), 3.0).when(F.col("c_near"), 1.5).otherwise(0.0)
+        + F.coalesce(F.when(F.col("sim") >= 0.55, 4.0 * F.col("sim")), F.lit(0.0))
+        + yes(F.col("k_same"), 0.5)
+    )
+    against = 1.0 + yes(F.col("c_diff") & ~F.col("c_near"), 4.0) + yes(F.coalesce(F.col("sim") < 0.5, F.lit(False)), 8.0) + yes(F.col("k_diff") & ~F.col("t_now"), 12.0)
+    pairs = checkpoint(p.select("security_id", "rid", "i_isin", support.alias("support"), against.alias("against")))
+    return pairs, copies.select("identifier_id", "copy_of")
+
+
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate pair with its confidence."""
+    pairs, copies = listing_pairs(spark, d)
+    scored = soft_match(pairs, "security_id", "rid", "support", "against", "i_isin")
+    return scored.join(copies, scored.rid == copies.copy_of).select("security_id", "identifier_id", F.round("confidence", 6).alias("confidence"))
+
+
+#: Confidence from which a pair counts as one listing.
+LEAST_CONFIDENCE = 0.52
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_matches(spark, d).where(F.col("confidence") >= LEAST_CONFIDENCE).select("security_id", "identifier_id")
+
+
 def clean_source(c: str = "source") -> Column:
     """A document's source in lower case with one underscore between words."""
     return F.nullif(F.regexp_replace(F.lower(F.trim(c)), r"[\s\-_]+", "_"), F.lit(""))
@@ -134,7 +241,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse_rates(p10_scores(spark, d), "source", LEAST_SCORE)
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p1_sources": p1_sources, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p1_sources": p1_sources, "p5_found": p5_found, "p5_matches": p5_matches, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 SQL = {
     "p1_found": r"""
