@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from chronopanel.plans import preparation
+from chronopanel.plans import asof_queries, preparation
 
-QUERIES = {**preparation.QUERIES}
-SQL = {**preparation.SQL}
+_PARTS = (preparation, asof_queries)
+QUERIES = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _PARTS for k, v in m.SQL.items()}
