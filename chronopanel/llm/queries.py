@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel.functions.keys import open_end, source_key, ticker_key
@@ -123,7 +123,9 @@ def listing_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     )
     # Exact copies are matched once; the classes are joined back at the end.
     said = ["tick", "tick2", "cik", "isin", "words", "cls", "since", "until"]
-    copies = checkpoint(ident.withColumn("copy_of", F.min("identifier_id").over(Window.partitionBy(F.xxhash64(*said), *said))))
+    # The key is a digest, so that a class of any size is combined before the shuffle.
+    ident = checkpoint(ident.withColumn("_key", F.sha2(F.to_json(F.struct(*said)), 256)))
+    copies = checkpoint(ident.join(ident.groupBy("_key").agg(F.min("identifier_id").alias("copy_of")), "_key").drop("_key"))
     rep = copies.where("identifier_id = copy_of").drop("copy_of").withColumnRenamed("identifier_id", "rid")
 
     by_tick = rep.select("rid", F.explode(F.array_compact(F.array("tick", "tick2"))).alias("tick")).distinct().join(ticks.select("security_id", "tick"), "tick").select("security_id", "rid")
