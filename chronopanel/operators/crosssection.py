@@ -24,8 +24,11 @@ def average_rank(value: str, by: Sequence[str]) -> Column:
 
 def safe_corr(x: str, y: str, otherwise: float | None = None) -> Column:
     """Pearson correlation; `otherwise` where a side has no variance or there are under two pairs."""
-    ok = (F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)) >= 2) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return F.when(ok, F.corr(x, y)).otherwise(F.lit(otherwise).cast("double"))
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
+    # corr itself divides by zero on a flat side
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.coalesce(F.when(F.count(a) >= 2, r), F.lit(otherwise).cast("double"))
 
 
 def rank_correlation(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 1) -> DataFrame:
