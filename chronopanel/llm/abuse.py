@@ -199,7 +199,7 @@ class AbuseScorer:
         cache = self.cache
         for line in self.lines(text):
             tokens = _TOKEN.findall(line)
-            if len(tokens) < 2:
+            if not tokens or len(tokens) == 1 and "_" not in tokens[0]:
                 continue
             loud = False
             for t in tokens:
