@@ -173,7 +173,7 @@ class AbuseScorer:
         if "*" not in w and not self.reach & skeletons(w):
             return frozenset(), False
         words = LevenshteinAutomaton(w, min(4, max(1, len(w) // 2))).intersect(self.trie)
-        words = [x for x in words if len(x) > 3]
+        words = [x for x in words if len(x) > 3 or "*" in w]
         if not words:
             return frozenset(), False
         return frozenset().union(*(self.labels[x] for x in words)), any(x not in self.common for x in words)

@@ -67,7 +67,7 @@ CLASSES: dict[str, str] = {
     "META": """
         lexicon lexikon blocklist blacklist wordlist moderation moderator classifier classify label labels labelled toxic toxicity
         task detector dataset corpus annotated annotation annotators recall precision flags flagged flag comments comment removed
-        filter filters filtered profanity slur slurs speech insult insults abusive offensive counted survey list lists statistics
+        filter filters filtered profanity slur slurs speech insult insults abusive offensive counted survey list lists
         stands means example examples token tokens train trained word words scores codebook census questionnaire
     """,
     # Persons a sentence may speak of.
@@ -184,6 +184,7 @@ RULES: tuple[tuple[float, int, str, str], ...] = (
     (1.0, 5, "send them back or burn", "hate"),
     (0.8, 4, "born criminals|liars|thieves|slaves", "hate"),
     (0.6, 3, "lock them up", "hate"),
+    (1.0, 9, "born criminals lock", "hate"),
     (0.6, 3, "ban them all", "hate"),
     (1.0, 5, "too stupid use computer|ban", "hate"),
     (0.8, 4, "liars and thieves", "hate"),
