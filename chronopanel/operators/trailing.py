@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -11,13 +13,41 @@ def series() -> WindowSpec:
     return Window.partitionBy("security_id").orderBy("date")
 
 
-def frame(n: int) -> WindowSpec:
-    return series().rowsBetween(-(n - 1), 0)
+def cumulated(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """df with, for each name, the running count, sum and sum of squares of a value's non-null rows.
+
+    Every trailing mean, deviation or count is then a difference of two rows.
+    A frame of its own per window would be summed anew at every row, n rows
+    each; this is one pass whatever the windows' lengths.
+    """
+    upto = series().rowsBetween(Window.unboundedPreceding, 0)
+    out = df.select("*", *[v.cast("double").alias(f"_v_{k}") for k, v in values.items()])
+    cols = []
+    for k in values:
+        v = F.col(f"_v_{k}")
+        cols += [F.count(v).over(upto).alias(f"_n_{k}"), F.sum(F.coalesce(v, F.lit(0.0))).over(upto).alias(f"_s_{k}"), F.sum(F.coalesce(v * v, F.lit(0.0))).over(upto).alias(f"_q_{k}")]
+    return out.select("*", *cols)
+
+
+def _last(kind: str, name: str, n: int) -> Column:
+    c = f"_{kind}_{name}"
+    return F.col(c) - F.coalesce(F.lag(c, n).over(series()), F.lit(0))
+
+
+def count(name: str, n: int) -> Column:
+    """Non-null values among the last n rows of a cumulated name."""
+    return _last("n", name, n)
+
+
+def mean(name: str, n: int) -> Column:
+    """Mean of the last n rows, if all n have the value."""
+    return F.when(count(name, n) == n, _last("s", name, n) / n)
 
 
-def full(agg: Column, value: str, n: int) -> Column:
-    """agg over the last n rows, if all n have the value."""
-    return F.when(F.count(value).over(frame(n)) == n, agg.over(frame(n)))
+def deviation(name: str, n: int) -> Column:
+    """Sample deviation of the non-null values among the last n rows; null for fewer than two."""
+    k, s, q = count(name, n), _last("s", name, n), _last("q", name, n)
+    return F.when(k >= 2, F.sqrt(F.greatest(F.lit(0.0), (q - s * s / k) / (k - 1))))
 
 
 def return_between(close: str, end: int, window: int) -> Column:

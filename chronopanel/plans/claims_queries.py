@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions.keys import open_end, source_key, ticker_key
-from chronopanel.operators import asof, claims, quality, upsert
+from chronopanel.operators import asof, claims, quality, trailing, upsert
 from chronopanel.operators.calendar import business_days
 from chronopanel.plans.fixtures import MONTHS, PANEL, PROBES, months, panel, probes
 from chronopanel.session import table
@@ -123,8 +123,10 @@ def A16(spark: SparkSession, d: str) -> DataFrame:
 def E2(spark: SparkSession, d: str) -> DataFrame:
     """Availability at each probe: rows, nearness, lookback, completeness and volume over the last 252 rows."""
     n = 252
-    w = Window.partitionBy("security_id").orderBy("date").rowsBetween(-(n - 1), 0)
-    p = panel(spark, d).withColumn("found", F.count(F.lit(1)).over(w)).withColumn("earliest", F.first("date").over(w)).withColumn("traded", F.max(F.col("volume") > 0).over(w))
+    w = trailing.series()
+    p = trailing.cumulated(panel(spark, d), {"traded": F.when(F.col("volume") > 0, 1)})
+    first = F.first("date").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    p = p.select("security_id", "date", F.least(F.row_number().over(w), F.lit(n)).alias("found"), F.coalesce(F.lag("date", n - 1).over(w), first).alias("earliest"), (trailing.count("traded", n) > 0).alias("traded"))
     a = asof.asof_backward(probes(spark, d), p, ["security_id"], "as_of", "date", ["found", "earliest", "traded"])
     a = a.withColumn("share", F.try_divide(F.col("found"), business_days(F.col("earliest"), F.col("as_of"))))
     return a.select("security_id", "as_of", F.coalesce(F.datediff("as_of", "fact_time") < 5, F.lit(False)).alias("near_date"), F.coalesce(F.col("found") >= n, F.lit(False)).alias("lookback"), F.round(F.coalesce("share", F.lit(0.0)), 4).alias("completeness"), F.coalesce("traded", F.lit(False)).alias("liquidity"))

@@ -24,13 +24,12 @@ FAMILIES = {
 
 def price_features(p: DataFrame) -> DataFrame:
     """The panel with every trailing feature as of each bar: one sort serves all windows."""
-    p = p.withColumn("ret", trailing.daily_return("close")).withColumn("dv", F.col("close") * F.col("volume"))
-    rb = trailing.return_between
-    w63 = trailing.frame(63)
-    full63 = F.count("close").over(trailing.frame(64)) == 64
-    neg = F.when(F.col("ret") < 0, F.col("ret"))
-    ma = trailing.full(F.avg("close"), "close", 200)
-    a20, a100 = trailing.full(F.avg("dv"), "dv", 20), trailing.full(F.avg("dv"), "dv", 100)
+    t = trailing
+    p = p.withColumn("ret", t.daily_return("close")).withColumn("dv", F.col("close") * F.col("volume"))
+    p = t.cumulated(p, {"close": F.col("close"), "ret": F.col("ret"), "neg": F.when(F.col("ret") < 0, F.col("ret")), "dv": F.col("dv")})
+    rb = t.return_between
+    whole = (t.count("close", 64) == 64) & (t.count("ret", 63) == 63)
+    ma, a20, a100 = t.mean("close", 200), t.mean("dv", 20), t.mean("dv", 100)
     return p.select(
         "security_id",
         "date",
@@ -42,12 +41,12 @@ def price_features(p: DataFrame) -> DataFrame:
         rb("close", 0, 252).alias("return_12m"),
         (rb("close", 0, 63) - rb("close", 63, 63)).alias("momentum_acceleration"),
         F.when(ma != 0, F.col("close") / ma - 1).alias("distance_from_200d_ma"),
-        F.when(full63 & (F.count("ret").over(w63) == 63), F.stddev_samp("ret").over(w63)).alias("realised_volatility_63d"),
-        F.when(full63 & (F.count("ret").over(w63) == 63) & (F.count(neg).over(w63) >= 2), F.stddev_samp(neg).over(w63)).alias("downside_volatility_63d"),
+        F.when(whole, t.deviation("ret", 63)).alias("realised_volatility_63d"),
+        F.when(whole, t.deviation("neg", 63)).alias("downside_volatility_63d"),
         F.col("dv").alias("dollar_volume"),
         a20.alias("rolling_avg_dollar_volume_20d"),
         F.when(a100 != 0, a20 / a100 - 1).alias("volume_trend_20d_100d"),
-        F.row_number().over(trailing.series()).cast("long").alias("history_length"),
+        F.row_number().over(t.series()).cast("long").alias("history_length"),
     )
 
 
