@@ -48,7 +48,7 @@ def A33(spark: SparkSession, d: str) -> DataFrame:
     """Share of probes whose next session lacks an open."""
     p = panel(spark, d)
     cal = p.select("date").distinct().withColumn("g", F.lit(1))
-    at = asof.asof_forward(months(spark).withColumn("g", F.lit(1)), cal, ["g"], "as_of", "date", []).select("as_of", F.col("fact_time").alias("date"))
+    at = asof.asof_forward(months(spark).withColumn("g", F.lit(1)), cal, ["g"], "as_of", "date", []).select("as_of", F.col("fact_time").alias("date")).where("date is not null")
     j = probes(spark, d).join(F.broadcast(at), "as_of").join(p.select("security_id", "date", "open"), ["security_id", "date"], "left")
     return j.groupBy("as_of").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("open").isNull()).alias("without_open"), F.round(F.avg(F.col("open").isNull().cast("double")), 6).alias("share"))
 
