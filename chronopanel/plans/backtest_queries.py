@@ -11,7 +11,11 @@ from chronopanel.plans.fixtures import MONTHS, PANEL, PROBES, panel
 from chronopanel.session import checkpoint, table
 
 
-def strategy_weights(spark: SparkSession, d: str, seeds: int = 5) -> DataFrame:
+#: Random portfolios of the benchmark distribution.
+SEEDS = 200
+
+
+def strategy_weights(spark: SparkSession, d: str, seeds: int = SEEDS) -> DataFrame:
     """(run_id, as_of, security_id, weight) of all strategies from one pass over the features."""
     f = checkpoint(features_at(spark, d).where("return_3m is not null").select("as_of", "security_id", "return_3m"))  # every strategy reads it
     here = Window.partitionBy("as_of")
@@ -33,19 +37,20 @@ def strategy_weights(spark: SparkSession, d: str, seeds: int = 5) -> DataFrame:
 def plan_of(weights: DataFrame, p: DataFrame) -> DataFrame:
     """Execution dates and prices: the next market session after the signal, marks as of that day.
 
-    A row for each target, and one without weight for each security that a run
-    holds at some time, on every later date of the schedule, so that held names
-    are marked and closed. The schedule is a parameter of the study.
+    A row for each target, and one without weight on every later date of the
+    schedule up to the run's next trading date, where a name without a target is
+    sold, or to the end if it has none; so held names are marked and closed. The
+    schedule is a parameter of the study.
     """
     cal = asof.sessions(p, "date")
     dates = weights.select("as_of").distinct().withColumn("g", F.lit(1))
     exe = asof.asof_forward(dates, cal.select("date").withColumn("g", F.lit(1)), ["g"], "as_of", "date", [], strict=True).select("as_of", F.coalesce("fact_time", "as_of").alias("date"))
     exe = checkpoint(exe)
     t = weights.join(F.broadcast(exe), "as_of")
-    span = t.groupBy("run_id", "security_id").agg(F.min("date").alias("since"))
+    own = t.select("run_id", "date").distinct().withColumn("until", F.lead("date").over(Window.partitionBy("run_id").orderBy("date")))
     days = sorted(r["date"] for r in exe.select("date").distinct().collect())
-    later = F.filter(F.array(*[F.lit(x) for x in days]), lambda x: x >= F.col("since"))
-    grid = span.select("run_id", "security_id", F.explode(later).alias("date"))
+    later = F.filter(F.array(*[F.lit(x) for x in days]), lambda x: (x >= F.col("date")) & (F.col("until").isNull() | (x <= F.col("until"))))
+    grid = t.join(own, ["run_id", "date"]).select("run_id", "security_id", F.explode(later).alias("date")).distinct()
     rows = grid.join(t.select("run_id", "security_id", "date", "weight"), ["run_id", "security_id", "date"], "left")
     need = rows.select("security_id", "date").distinct()
     marks = asof.asof_backward(need.withColumnRenamed("date", "at"), p, ["security_id"], "at", "date", ["close"]).select("security_id", F.col("at").alias("date"), F.col("close").alias("mark"), F.when(F.col("fact_time") == F.col("at"), F.col("close")).alias("price"))
@@ -80,7 +85,7 @@ def A22(spark: SparkSession, d: str) -> DataFrame:
     w = strategy_weights(spark, d)
     could = w.where("run_id = 'equal_weight'").groupBy("security_id").agg(F.count(F.lit(1)).alias("opportunities"))
     did = w.where("run_id like 'random_%'").groupBy("security_id").agg(F.count(F.lit(1)).alias("picked"))
-    return could.join(did, "security_id", "left").select("security_id", (5 * F.col("opportunities")).alias("opportunities"), F.coalesce("picked", F.lit(0).cast("long")).alias("picked"))
+    return could.join(did, "security_id", "left").select("security_id", (SEEDS * F.col("opportunities")).alias("opportunities"), F.coalesce("picked", F.lit(0).cast("long")).alias("picked"))
 
 
 def J19(spark: SparkSession, d: str) -> DataFrame:

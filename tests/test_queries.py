@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from chronopanel.plans import registry
+from chronopanel.operators import fold
+from chronopanel.plans import backtest_queries, registry
+from chronopanel.plans.fixtures import panel
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -65,3 +67,38 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_all_random_runs(spark, sf):
+    runs = [r["run_id"] for r in registry.QUERIES["B8_metrics"](spark, sf).select("run_id").collect()]
+    assert sum(r.startswith("random_") for r in runs) == 200 and len(set(runs)) == len(runs)
+    w = backtest_queries.strategy_weights(spark, sf)
+    could = {r["security_id"]: 200 * r["count"] for r in w.where("run_id = 'equal_weight'").groupBy("security_id").count().collect()}
+    did = {r["security_id"]: r["count"] for r in w.where("run_id like 'random_%'").groupBy("security_id").count().collect()}
+    for r in registry.QUERIES["A22_selection_counts"](spark, sf).collect():
+        assert r["opportunities"] == could[r["security_id"]] and r["picked"] == did[r["security_id"]] <= r["opportunities"]
+
+
+def test_plan_has_all_rows_that_trading_needs(spark, sf):
+    """The same snapshots as from a row for every name a run ever targets on every later date."""
+    p = panel(spark, sf).cache()
+    w = backtest_queries.strategy_weights(spark, sf, 2)
+    # every third date of one run, and few names of another, so that names stay untargeted for some time
+    w = w.where("run_id <> 'random_1' or month(as_of) % 3 = 0").where("run_id <> 'random_2' or (security_id + month(as_of)) % 2 = 0").cache()
+    plan = backtest_queries.plan_of(w, p).toPandas()
+    days, closes = sorted(plan["date"].unique()), {s: g.sort_values("date") for s, g in p.select("security_id", "date", "close").toPandas().groupby("security_id")}
+    rows = [plan]
+    for (run, sid), g in plan[plan["weight"].notna()].groupby(["run_id", "security_id"]):
+        have = set(plan.loc[(plan["run_id"] == run) & (plan["security_id"] == sid), "date"])
+        for day in days:
+            if day >= g["date"].min() and day not in have:
+                c = closes[sid][closes[sid]["date"] <= day]
+                mark = float(c["close"].iloc[-1])
+                rows.append(pd.DataFrame({"run_id": [run], "date": [day], "security_id": [sid], "weight": [np.nan], "price": [mark if c["date"].iloc[-1] == day else np.nan], "mark": [mark]}))
+    full = pd.concat(rows)
+    assert len(full) > len(plan)
+    schema = "run_id string, date date, security_id long, weight double, price double, mark double"
+    a, b = (normal(fold.simulate(spark.createDataFrame(x[["run_id", "date", "security_id", "weight", "price", "mark"]], schema).replace(float("nan"), None)).toPandas()) for x in (plan, full))
+    assert len(a) == len(b)
+    for c in a.columns:
+        assert np.allclose(a[c], b[c], rtol=1e-9) if a[c].dtype.kind in "fi" else (a[c] == b[c]).all(), c
