@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronopanel.operators import adjust, asof, trailing
 from chronopanel.operators.crosssection import mid_rank
 from chronopanel.plans.asof_queries import _dividends
-from chronopanel.plans.fixtures import MONTHS, PANEL, PROBES, panel, probes
+from chronopanel.plans.fixtures import MONTHS, PANEL, PROBES, months, panel, probes
 from chronopanel.session import table
 
 FEATURES = ("return_1m", "return_3m", "return_6m", "return_12m", "momentum_acceleration", "distance_from_200d_ma", "realised_volatility_63d", "downside_volatility_63d", "dollar_volume", "rolling_avg_dollar_volume_20d", "volume_trend_20d_100d", "history_length")
@@ -20,6 +22,18 @@ FAMILIES = {
     "relative_cross_sectional": ("return_relative_to_eligible_mean_63d", "momentum_percentile_rank", "volatility_percentile_rank"),
     "market_regime": ("proxy_index_trend", "proxy_index_volatility", "breadth_proxy"),
 }
+#: The ladder of an ablation: which families each step has.
+LADDER = {
+    "price_only": ("price_momentum",),
+    "price_plus_volatility": ("price_momentum", "volatility_risk"),
+    "price_plus_volume": ("price_momentum", "volatility_risk", "volume_liquidity"),
+    "price_plus_market_regime": ("price_momentum", "volatility_risk", "volume_liquidity", "market_regime"),
+    "full_v1_feature_set": tuple(FAMILIES),
+}
+
+
+def features_of(families: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(c for x in families for c in FAMILIES[x])
 
 
 def price_features(p: DataFrame) -> DataFrame:
@@ -59,15 +73,18 @@ def W_features(spark: SparkSession, d: str) -> DataFrame:
     return features_at(spark, d).select("security_id", "as_of", *[F.round(c, 6).alias(c) for c in FEATURES[:8]], *[F.round(c).alias(c) for c in FEATURES[8:10]], F.round(FEATURES[10], 6).alias(FEATURES[10]), F.coalesce(FEATURES[11], F.lit(0).cast("long")).alias(FEATURES[11]))
 
 
-def W8(spark: SparkSession, d: str) -> DataFrame:
+def drawdowns(spark: SparkSession, d: str) -> DataFrame:
     """Drawdown within the last 252 rows, only for the bars a probe sees."""
     p = panel(spark, d).withColumn("n", F.row_number().over(trailing.series()))
     seen = asof.asof_backward(probes(spark, d), p, ["security_id"], "as_of", "date", ["n"]).where("n >= 252").select("security_id", "as_of", "n")
-    bars = p.select("security_id", F.col("n").alias("m"), "close")
-    # each probe gathers at most 252 closes; the offset makes it an equi-join
-    want = seen.withColumn("m", F.explode(F.sequence(F.col("n") - 251, F.col("n"))))
-    got = want.join(bars, ["security_id", "m"]).groupBy("security_id", "as_of").agg(F.array_sort(F.collect_list(F.struct("m", "close"))).alias("x"))
-    return got.select("security_id", "as_of", F.round(trailing.drawdown(F.col("x.close")), 6).alias("max_drawdown_252d"))
+    # a security's closes, as many as the calendar has days, travel once; each probe cuts its 252 out of them
+    closes = p.groupBy("security_id").agg(F.array_sort(F.collect_list(F.struct("n", "close"))).alias("x"))
+    got = seen.join(closes, "security_id")
+    return got.select("security_id", "as_of", trailing.drawdown(F.slice("x.close", F.col("n") - 251, 252)).alias("max_drawdown_252d"))
+
+
+def W8(spark: SparkSession, d: str) -> DataFrame:
+    return drawdowns(spark, d).select("security_id", "as_of", F.round("max_drawdown_252d", 6).alias("max_drawdown_252d"))
 
 
 def W13(spark: SparkSession, d: str) -> DataFrame:
@@ -114,6 +131,32 @@ def A6(spark: SparkSession, d: str) -> DataFrame:
     return v.select("date", F.round("v", 6).alias("proxy_index_volatility"))
 
 
+def proxy_volatility_at(spark: SparkSession, d: str, sessions: int = 63) -> DataFrame:
+    """Volatility at each month start of the mean return, over the last sessions, of the securities probed there."""
+    p = panel(spark, d)
+    cal = asof.sessions(p, "date").select("date", "prev_session")
+    days = sorted(r["date"] for r in cal.select("date").collect())  # the calendar
+    windows = [(m["as_of"], x) for m in months(spark).collect() for i in [bisect_right(days, m["as_of"])] for x in days[max(0, i - sessions) : i]]
+    windows = spark.createDataFrame(windows, "as_of date, date date")
+    last = p.groupBy("security_id").agg(F.max("date").alias("last"))
+    prev = p.select("security_id", F.col("date").alias("prev_session"), F.col("close").alias("before"))
+    both = p.join(F.broadcast(cal), "date").join(prev, ["security_id", "prev_session"]).where("before <> 0").join(last, "security_id")
+    r = both.select("date", "last", (F.col("close") / F.col("before") - 1).alias("r")).join(F.broadcast(windows), "date").where(F.col("as_of") <= F.date_add("last", 40))
+    return r.groupBy("as_of", "date").agg(F.avg("r").alias("r")).groupBy("as_of").agg(F.stddev_samp("r").alias("proxy_index_volatility"))
+
+
+def family_features(spark: SparkSession, d: str) -> DataFrame:
+    """Each probe with the features of all families and the length of its history."""
+    by = Window.partitionBy("as_of")
+    above = F.when(F.col("distance_from_200d_ma") > 0, 1.0).when(F.col("distance_from_200d_ma") <= 0, 0.0)
+    f = features_at(spark, d).join(drawdowns(spark, d), ["security_id", "as_of"], "left").join(F.broadcast(proxy_volatility_at(spark, d)), "as_of", "left")
+    f = f.withColumns({
+        "return_relative_to_eligible_mean_63d": F.col("return_3m") - F.avg("return_3m").over(by), "momentum_percentile_rank": mid_rank("return_12m", ["as_of"]), "volatility_percentile_rank": mid_rank("realised_volatility_63d", ["as_of"]),
+        "proxy_index_trend": F.avg("return_3m").over(by), "breadth_proxy": F.avg(above).over(by),
+    })
+    return f.select("security_id", "as_of", "history_length", *[c for x in FAMILIES.values() for c in x])
+
+
 def A31(spark: SparkSession, d: str) -> DataFrame:
     """Members, mean pairwise correlation by the variance ratio, and breadth N / (1 + (N - 1) rho) per year."""
     f = price_features(panel(spark, d)).where("ret is not null").select("security_id", "date", "ret", F.year("date").alias("y"))

@@ -7,16 +7,29 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators import models, splits
 from chronopanel.operators.crosssection import rank_correlation, safe_corr
-from chronopanel.plans.feature_queries import features_at, labels
+from chronopanel.plans.feature_queries import FAMILIES, LADDER, family_features, features_at, features_of, labels
 from chronopanel.plans.fixtures import months
 from chronopanel.session import checkpoint
 
 X = ("return_1m", "return_3m", "distance_from_200d_ma", "realised_volatility_63d", "volume_trend_20d_100d")
-
-
-def training_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Complete rows with label, class and part of the split; cut once, as every fit reads it many times."""
-    f = features_at(spark, d).select("security_id", "as_of", "history_length", "return_12m", *X).dropna(subset=list(X))
+ALL = features_of(tuple(FAMILIES))
+#: Candidates of each model, by what a report calls them; a fit takes the features first.
+LINEAR = {
+    "ridge": {f"alpha={a:g}": (lambda x, a=a: models.fit_linear(x, "y", a)) for a in (10.0, 3.0, 1.0, 0.3, 0.1)},
+    "logistic": {f"C={c:g}": (lambda x, c=c: models.fit_logistic(x, "z", c)) for c in (0.03, 0.1, 0.3, 1.0, 3.0)},
+    "elastic_net": {f"alpha={a:g}": (lambda x, a=a: models.fit_linear(x, "y", a, 0.5)) for a in (0.01, 0.003, 0.001, 0.0003, 0.0001, 0.00003)},
+}
+TREES = {
+    "random_forest": {f"trees={n} depth={k} least={m}": (lambda x, n=n, k=k, m=m: models.fit_trees(x, "y", trees=n, depth=k, least=m)) for n in (100, 300) for k in (3, 5, 8) for m in (20, 50)},
+    "boosted_trees": {f"depth={k} step={r:g} trees={n} least={m}": (lambda x, n=n, k=k, m=m, r=r: models.fit_trees(x, "y", True, trees=n, depth=k, least=m, step=r)) for k in (2, 3) for r in (0.01, 0.05) for n in (50, 150) for m in (20, 50)},
+}
+PENALTIES = (0.01, 0.003, 0.001, 0.0003, 0.0001, 0.00003, 0.00001)
+FOLDS = 3
+
+
+def training_panel(spark: SparkSession, d: str, full: bool = False) -> DataFrame:
+    """Complete rows (of X, or of all families) with label, class and part of the split; cut once, as every fit reads it many times."""
+    f = family_features(spark, d).dropna(subset=list(ALL)) if full else features_at(spark, d).select("security_id", "as_of", "history_length", "return_12m", *X).dropna(subset=list(X))
     lab = labels(spark, d).select("security_id", "as_of", "y")
     parts = splits.primary_split(months(spark), "as_of", 0.6, 0.15, 0.25, 3)
     return checkpoint(f.join(lab, ["security_id", "as_of"]).join(F.broadcast(parts), "as_of").withColumn("z", (F.col("y") > 0).cast("double")))
@@ -36,28 +49,45 @@ def M5(spark: SparkSession, d: str) -> DataFrame:
     return _report(spark, [("historical_mean", v.withColumn("score", F.coalesce("return_12m", F.lit(0.0)) / 12)), ("momentum", v.withColumn("score", F.col("return_3m")))])
 
 
-def M6(spark: SparkSession, d: str) -> DataFrame:
-    p = training_panel(spark, d)
+def _folds(train: DataFrame) -> list[tuple[list, list]]:
+    """Expanding inner folds with embargo on the training dates."""
+    dates = sorted(r["as_of"] for r in train.select("as_of").distinct().collect())  # the calendar
+    return [([dates[i] for i in a], [dates[i] for i in b]) for a, b in splits.inner_folds(len(dates), FOLDS, 3)]
+
+
+def _ladder(spark: SparkSession, d: str, grids: dict[str, dict], steps: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Each model on each step's features, tuned on the training dates, fitted on all of them, judged on validation."""
+    p = training_panel(spark, d, full=True)
     train, val = p.where("part = 'train'"), p.where("part = 'validation'")
-    fits = [("ridge", models.fit_linear(X, "y", 10.0)), ("elastic_net", models.fit_linear(X, "y", 1e-3, 0.5)), ("logistic", models.fit_logistic(X, "z"))]
-    return _report(spark, [(n, f(train)(val)) for n, f in fits])
+    folds, out = _folds(train), None
+    for step, families in steps.items():
+        x = features_of(families)
+        for name, grid in grids.items():
+            best, _ = models.tune(train, "as_of", "y", [fit(x) for fit in grid.values()], folds)
+            chosen = list(grid)[best]
+            r = _report(spark, [(name, grid[chosen](x)(train)(val))]).select(F.lit(step).alias("step"), "*", F.lit(chosen).alias("chosen"))
+            out = r if out is None else out.unionByName(r)
+    return out
+
+
+def M6(spark: SparkSession, d: str) -> DataFrame:
+    return _ladder(spark, d, LINEAR, LADDER)
 
 
 def M7(spark: SparkSession, d: str) -> DataFrame:
-    p = training_panel(spark, d)
-    train, val = p.where("part = 'train'"), p.where("part = 'validation'")
-    fits = [("random_forest", models.fit_trees(X, "y", trees=20)), ("boosted_trees", models.fit_trees(X, "y", True, trees=10))]
-    return _report(spark, [(n, f(train)(val)) for n, f in fits])
+    """The ladder, and all families but volume."""
+    return _ladder(spark, d, TREES, LADDER | {"full_v1_minus_volume_liquidity": tuple(x for x in FAMILIES if x != "volume_liquidity")})
 
 
 def M8(spark: SparkSession, d: str) -> DataFrame:
-    """Ridge penalty chosen by expanding inner folds with embargo on the training dates."""
-    train = training_panel(spark, d).where("part = 'train'")
-    dates = sorted(r["as_of"] for r in train.select("as_of").distinct().collect())  # the calendar
-    folds = [([dates[i] for i in a], [dates[i] for i in b]) for a, b in splits.inner_folds(len(dates), 2, 3)]
-    alphas = (0.1, 10.0, 1000.0)
-    best = models.tune(train, "as_of", "y", [models.fit_linear(X, "y", a) for a in alphas], folds)
-    return spark.createDataFrame([(float(alphas[best]), len(folds))], "alpha double, folds int")
+    """What every candidate of the linear models gets in the inner folds, and which is chosen, on each step of the ladder."""
+    train = training_panel(spark, d, full=True).where("part = 'train'")
+    folds, rows = _folds(train), []
+    for step, families in LADDER.items():
+        for name, grid in LINEAR.items():
+            best, means = models.tune(train, "as_of", "y", [fit(features_of(families)) for fit in grid.values()], folds)
+            rows += [(step, name, c, m, n, i == best) for i, (c, (m, n)) in enumerate(zip(grid, means, strict=True))]
+    return spark.createDataFrame(rows, "step string, model string, candidate string, mean_ic double, folds int, chosen boolean").withColumn("mean_ic", F.round("mean_ic", 6))
 
 
 def M10(spark: SparkSession, d: str) -> DataFrame:
@@ -71,10 +101,10 @@ def M10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def M13(spark: SparkSession, d: str) -> DataFrame:
-    """Validation figures along a path of elastic-net penalties."""
-    p = training_panel(spark, d)
+    """Validation figures along a path of elastic-net penalties, on the features of all families."""
+    p = training_panel(spark, d, full=True)
     train, val = p.where("part = 'train'"), p.where("part = 'validation'")
-    return _report(spark, [(f"alpha_{a:g}", models.fit_linear(X, "y", a, 0.5)(train)(val)) for a in (1e-4, 1e-3, 1e-2)])
+    return _report(spark, [(f"alpha_{a:g}", models.fit_linear(ALL, "y", a, 0.5)(train)(val)) for a in PENALTIES])
 
 
 QUERIES = {"M5_baselines": M5, "M6_linear_models": M6, "M7_tree_models": M7, "M8_tuning": M8, "M10_history_diagnostic": M10, "M13_penalty_path": M13}

@@ -7,9 +7,10 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from chronopanel.operators import fold
-from chronopanel.plans import backtest_queries, registry
+from chronopanel.operators import fold, models
+from chronopanel.plans import backtest_queries, feature_queries, model_queries, registry
 from chronopanel.plans.fixtures import panel
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -102,3 +103,46 @@ def test_plan_has_all_rows_that_trading_needs(spark, sf):
     assert len(a) == len(b)
     for c in a.columns:
         assert np.allclose(a[c], b[c], rtol=1e-9) if a[c].dtype.kind in "fi" else (a[c] == b[c]).all(), c
+
+
+def test_models_run_the_whole_grid(spark, sf, monkeypatch):
+    """Every candidate of the reference's grids, three folds, each step of the ladder, and the features of all families."""
+    d, calls, trees = sf.replace("sf0.001", "sf0.01"), [], []
+    assert len(model_queries.ALL) == len(set(model_queries.ALL)) == 18
+
+    def tune(train, by, label, candidates, folds, parallel=6):
+        calls.append((len(candidates), len(folds)))
+        return len(candidates) - 1, [(0.0, len(folds))] * len(candidates)
+
+    def fit_trees(x, label, boosted=False, **kw):
+        trees.append((boosted, len(x), kw["trees"], kw["depth"], kw["least"]))
+        return lambda train: lambda df: df.withColumn("score", F.col(x[0]))
+
+    monkeypatch.setattr(model_queries.models, "tune", tune)
+    monkeypatch.setattr(model_queries.models, "fit_trees", fit_trees)
+    assert registry.QUERIES["M8_tuning"](spark, d).count() == 5 * (5 + 5 + 6) and set(calls) == {(5, 3), (6, 3)} and len(calls) == 15
+    calls.clear()
+    assert registry.QUERIES["M7_tree_models"](spark, d).count() == 12 and sorted(calls) == [(12, 3)] * 6 + [(16, 3)] * 6
+    assert {n for _, n, *_ in trees} == {6, 9, 12, 15, 18} and {t[2:] for t in trees if not t[0]} == {(n, k, m) for n in (100, 300) for k in (3, 5, 8) for m in (20, 50)}
+    assert {t[2] for t in trees if t[0]} == {50, 150}
+    assert registry.QUERIES["M13_penalty_path"](spark, d).count() == 7
+
+
+def test_tune_takes_the_best_mean_of_folds(spark):
+    df = spark.createDataFrame([(day, i, float((i * 7 + day) % 6)) for day in range(6) for i in range(6)], "as_of int, i int, y double")
+    flat, down, up = (lambda train, s=s: lambda x: x.withColumn("score", s * F.col("y")) for s in (0.0, -1.0, 1.0))
+    best, means = models.tune(df, "as_of", "y", [flat, down, up], [([0], [1, 2]), ([0, 1], [3])])
+    assert best == 2 and means[0] == (None, 0) and means[1] == (pytest.approx(-1), 2) and means[2] == (pytest.approx(1), 2)
+    assert models.tune(df, "as_of", "y", [flat, flat], [([0], [1])])[0] == 0
+
+
+def test_proxy_volatility_by_hand(spark, sf):
+    p = panel(spark, sf).select("security_id", "date", "close").toPandas()
+    days = sorted(p["date"].unique())
+    wide = p.pivot(index="date", columns="security_id", values="close").reindex(days)
+    last = p.groupby("security_id")["date"].max()
+    for r in feature_queries.proxy_volatility_at(spark, sf).orderBy("as_of").limit(30).collect():
+        at = wide[wide.index <= r["as_of"]].iloc[-64:]
+        at = at[[s for s in at.columns if (r["as_of"] - last[s]).days <= 40]]
+        means = (at / at.shift(1) - 1).mean(axis=1).dropna()
+        assert r["proxy_index_volatility"] == pytest.approx(means.std(), rel=1e-9, nan_ok=True) if r["proxy_index_volatility"] is not None else len(means) < 2
