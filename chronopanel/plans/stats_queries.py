@@ -107,8 +107,8 @@ def G5(spark: SparkSession, d: str) -> DataFrame:
     night, intraday = _series(spark, d)
     acf = {r["lag"]: r["rho"] for r in bootstrap.autocorrelation(overnight_series(spark, d), "date", "overnight").collect()}
     block = bootstrap.choose_block_length(acf, len(night))
-    a = bootstrap.mean_interval(spark, night, block, 2000)
-    b = bootstrap.mean_interval(spark, [x - y for x, y in zip(night, intraday, strict=True)], block, 2000)
+    a = bootstrap.mean_interval(spark, night, block)
+    b = bootstrap.mean_interval(spark, [x - y for x, y in zip(night, intraday, strict=True)], block)
     rows = [(n, *(float(r[k]) * 25200 for k in ("mean", "low", "high")), bool(r["excludes_zero"]), bootstrap.verdict(a, b)) if r else (n, None, None, None, None, "inconclusive") for n, r in (("overnight", a), ("difference", b))]
     return spark.createDataFrame(rows, "series string, annualised_pct double, low double, high double, excludes_zero boolean, verdict string")
 

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chronopanel.operators import fold, models
+from chronopanel.operators import bootstrap, fold, models
 from chronopanel.plans import backtest_queries, feature_queries, model_queries, registry
 from chronopanel.plans.fixtures import panel
 
@@ -146,3 +146,15 @@ def test_proxy_volatility_by_hand(spark, sf):
         at = at[[s for s in at.columns if (r["as_of"] - last[s]).days <= 40]]
         means = (at / at.shift(1) - 1).mean(axis=1).dropna()
         assert r["proxy_index_volatility"] == pytest.approx(means.std(), rel=1e-9, nan_ok=True) if r["proxy_index_volatility"] is not None else len(means) < 2
+
+
+def test_significance_draws_the_default_replicates(spark, sf, monkeypatch):
+    drawn, block_means = [], bootstrap.block_means
+
+    def spy(spark, values, block, draws, *rest):
+        drawn.append(draws)
+        return block_means(spark, values, block, draws, *rest)
+
+    monkeypatch.setattr(bootstrap, "block_means", spy)
+    assert registry.QUERIES["G5_significance"](spark, sf).count() == 2
+    assert drawn == [5000, 5000]
