@@ -8,6 +8,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ _SIGNED = re.compile(r"[0-9+@$].*[^\W\d_]|[^\W\d_].*[0-9+@$]")
 _SIGNED_TOKEN = re.compile(r"[\w+*@$\-]+")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _COUNTED = re.compile(r"\d+[^\W\d_]$")
+_JOINT = re.compile(r"[_\-]+")
 _VOWEL_RUN = re.compile(r"([aeiou])\1+")
 _LONG_RUN = re.compile(r"(.)\1{2,}")
 #: A single quoted word is a mention, unless it is a call's whole argument.
@@ -33,12 +35,17 @@ _MENTION = r"['\"‘“`«]{0}['\"’”`»]"
 KINDS = ("insult", "threat", "hate", "sexual")
 
 
-def fold(word: str) -> str:
-    """Lower case without accents, runs of one vowel as one, hyphens and underscores gone."""
+def _bare(word: str) -> str:
+    """Lower case without accents, hyphens and underscores."""
     w = word.lower().replace("-", "").replace("_", "").replace("ß", "ss")
     if not w.isascii():
         w = "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c))
-    return _LONG_RUN.sub(r"\1\1", _VOWEL_RUN.sub(r"\1", w))
+    return w
+
+
+def fold(word: str) -> str:
+    """Lower case without accents, runs of one vowel as one, hyphens and underscores gone."""
+    return _LONG_RUN.sub(r"\1\1", _VOWEL_RUN.sub(r"\1", _bare(word)))
 
 
 def plain(token: str) -> str:
@@ -69,26 +76,57 @@ def budget(length: int) -> int:
 
 def skeletons(word: str) -> set[str]:
     """The consonants of a word, as they are and with any one left out."""
-    c = "".join(x for x in word if x not in VOWELS)
+    c = consonants(word)
     return {c, *(c[:i] + c[i + 1 :] for i in range(len(c)))}
 
 
+def consonants(word: str) -> str:
+    return "".join(x for x in word if x not in VOWELS)
+
+
+class Reach:
+    """A test that no token within the automaton's budget fails, much cheaper than the automaton.
+
+    A budget of 4 pays for one wrong or additional letter (3) with a vowel lost,
+    or for lost consonants (2 each), two at most. In the first case word and
+    token have a skeleton in common once each leaves out at most one consonant;
+    in the second the token's consonants are the word's less one or two.
+    """
+
+    def __init__(self, words: Iterator[str] | list[str]) -> None:
+        self.one: set[str] = set()
+        self.two: set[str] = set()
+        for w in words:
+            self.one |= skeletons(w)
+            if budget(len(w)) >= 4:
+                c = consonants(w)
+                self.two |= {c[:i] + c[i + 1 : j] + c[j + 1 :] for j in range(len(c)) for i in range(j)}
+
+    def may(self, token: str) -> bool:
+        return consonants(token) in self.two or not self.one.isdisjoint(skeletons(token))
+
+
 class LevenshteinAutomaton:
     """The weighted Levenshtein automaton of one token, intersected with a trie.
 
     A state is the row of costs of having read the trie's path against every
     prefix of the token. Losing a vowel costs 1, losing another letter 2, a
-    wrong or additional letter 3; a star is any vowel for 0, any letter for 1.
+    wrong or additional letter 3, a vowel for a consonant or the reverse 4; a star is any vowel for 0, any letter for 1,
+    and costs 1 where it stands for none (one of a run of vowels). Letters in
+    `free` are lost for nothing.
     """
 
-    def __init__(self, token: str, most: int) -> None:
-        self.token, self.most = token, most
+    def __init__(self, token: str, most: int, free: frozenset[str] = frozenset()) -> None:
+        self.token, self.most, self.free = token, most, free
 
     def start(self) -> tuple[int, ...]:
-        return tuple(range(0, 3 * len(self.token) + 1, 3))
+        out = [0]
+        for t in self.token:
+            out.append(out[-1] + (1 if t == "*" else 3))
+        return tuple(out)
 
     def step(self, row: tuple[int, ...], c: str) -> tuple[int, ...]:
-        lost = 1 if c in VOWELS else 2
+        lost = 0 if c in self.free else 1 if c in VOWELS else 2
         out = [row[0] + lost]
         for j, t in enumerate(self.token, 1):
             if t == c:
@@ -96,8 +134,8 @@ class LevenshteinAutomaton:
             elif t == "*":
                 swap = 0 if c in VOWELS else 1
             else:
-                swap = 3
-            out.append(min(row[j - 1] + swap, row[j] + lost, out[j - 1] + 3))
+                swap = 3 if (c in VOWELS) == (t in VOWELS) else 4
+            out.append(min(row[j - 1] + swap, row[j] + lost, out[j - 1] + (1 if t == "*" else 3)))
         return tuple(out)
 
     def intersect(self, trie: Trie) -> list[str]:
@@ -120,67 +158,163 @@ class AbuseScorer:
     """Scores texts; holds the lexicon, the compiled rules and a cache of tokens."""
 
     CACHE = 400_000
+    #: Signs that an identifier cannot hold: letters they stood for are missing in it.
+    UNSIGNED = frozenset("tas")
 
     def __init__(self) -> None:
         labels: dict[str, set[str]] = {}
+        forms: dict[str, str] = {}
+
+        def entry(word: str) -> set[str]:
+            w = fold(word)
+            forms[w] = forms[_bare(word)] = w
+            return labels.setdefault(w, set())
+
         for name, words in CLASSES.items():
             for w in words.split():
-                labels.setdefault(fold(w), set()).add("@" + name)
+                entry(w).add("@" + name)
         self.rules: list[tuple[float, int, list[frozenset[str]], str]] = []
         for weight, step, pattern, kind in RULES:
             slots = []
             for part in pattern.split():
                 slot = frozenset(x if x[0] == "@" else fold(x) for x in part.split("|"))
                 slots.append(slot)
-                for x in slot:
+                for x in part.split("|"):
                     if x[0] != "@":
-                        labels.setdefault(x, set())
+                        entry(x)
             self.rules.append((weight, step, slots, kind))
         self.labels = {w: frozenset({w, *c}) for w, c in labels.items()}
-        self.trie = Trie(sorted(self.labels))
-        # A budget allows one wrong consonant at most, so words that share none of
-        # these with a token are out of its reach.
-        self.reach = set().union(*(skeletons(w) for w in self.labels))
+        # Short slurs are one letter from ordinary words: these are read as they stand.
+        self.trie = Trie(sorted(w for w, x in self.labels.items() if len(w) > 6 or "@SLUR" not in x))
+        self.reach = Reach(list(self.labels))
         self.ordinary = frozenset(fold(w) for w in ORDINARY)
         self.common = frozenset(fold(w) for w in COMMON)
+        # Words run together are told apart by one pass over them.
+        for w in COMMON:
+            forms.setdefault(_bare(w), fold(w))
+        self.run_on = ahocorasick.Automaton()
+        for form, w in forms.items():
+            if len(form) > 1:
+                self.run_on.add_word(form, (len(form), w, len(form) > 3 and w in self.labels and w not in self.common))
+        self.run_on.make_automaton()
         self.by_slot: dict[str, list[int]] = {}
         for n, (_, _, slots, _) in enumerate(self.rules):
             for x in slots[-1]:
                 self.by_slot.setdefault(x, []).append(n)
-        self.cache: dict[str, tuple | None] = {}
+        self.cache: dict[object, tuple | None] = {}
 
-    def read(self, token: str) -> tuple | None:
-        """What a token may mean: a tuple of (labels, is a trigger) per part, None if nothing."""
-        parts = [p for p in token.split("_") if p] if "_" in token else [token]
-        out = tuple(self._part(p) for p in parts)
+    def read(self, token: str, signed: bool = False) -> tuple | None:
+        """What a token may mean: a tuple of (labels, is a trigger) per word in it, None if nothing."""
+        out = self._words(token, signed)
         out = out if any(x[0] for x in out) else None
         if len(self.cache) >= self.CACHE:
             self.cache.clear()
-        self.cache[token] = out
+        self.cache[(token, True) if signed else token] = out
         return out
 
-    def read_cached(self, token: str) -> tuple | None:
-        return self.cache[token] if token in self.cache else self.read(token)
+    def read_cached(self, token: str, signed: bool = False) -> tuple | None:
+        key = (token, True) if signed else token
+        return self.cache[key] if key in self.cache else self.read(token, signed)
+
+    def _words(self, token: str, signed: bool) -> tuple:
+        parts = [p for p in _JOINT.split(token) if p] if "_" in token or "-" in token else [token]
+        if len(parts) < 2:
+            return self._part(parts[0], signed) if parts else ()
+        whole = plain(token)
+        if whole in self.labels and whole not in self.common:
+            return ((self.labels[whole], True),)
+        if "_" not in token:
+            out = self._part(token, signed)
+            if any(x[1] for x in out):
+                return out
+        merged: list[str] = []
+        out: tuple | list
+        for p in parts:  # a word spelled with separators between the letters
+            if len(p) == 1 and merged and (len(merged[-1]) == 1 or merged[-1][0] == "\0"):
+                merged[-1] = "\0" + merged[-1].lstrip("\0") + p
+            else:
+                merged.append(p)
+        out = []
+        for p in merged:
+            if p.isdigit():  # a number between others, not letters in disguise
+                out.append((frozenset(), False))
+            elif p[0] != "\0":
+                out += self._part(p, signed)
+            elif len(p) > 4:
+                out += self._part(p[1:], signed)
+            else:
+                for c in p[1:]:
+                    out += self._part(c, signed)
+        return tuple(out)
 
-    def _part(self, part: str) -> tuple[frozenset[str], bool]:
+    def _part(self, part: str, signed: bool = False) -> tuple:
         w = plain(part)
-        if _COUNTED.match(part):
-            return frozenset(), False
+        if not signed and _COUNTED.match(part):
+            return ((frozenset(), False),)
         if w in self.labels:
-            return self.labels[w], w not in self.common
-        if not 3 <= len(w) <= 24 or w in self.ordinary:
-            return frozenset(), False
-        if "*" not in w and not self.reach & skeletons(w):
-            return frozenset(), False
-        words = LevenshteinAutomaton(w, min(4, max(1, len(w) // 2))).intersect(self.trie)
-        words = [x for x in words if len(x) > 3 or "*" in w]
-        if not words:
-            return frozenset(), False
-        return frozenset().union(*(self.labels[x] for x in words)), any(x not in self.common for x in words)
+            return ((self.labels[w], w not in self.common),)
+        if len(w) > 1 and w[0] == w[-1] == "*":  # emphasis, not letters left out
+            return self._part(part.strip("*"), signed) if part.strip("*") else ((frozenset(), False),)
+        if len(w) < (2 if signed else 3) or w in self.ordinary:
+            return ((frozenset(), False),)
+        words: list[str] = []
+        if len(w) <= 24:
+            if signed:
+                words = LevenshteinAutomaton(w, min(4, max(1, len(w) // 2)), self.UNSIGNED).intersect(self.trie)
+            elif "*" in w or self.reach.may(w):
+                words = LevenshteinAutomaton(w, min(4, max(1, len(w) // 2))).intersect(self.trie)
+            words = [x for x in words if len(x) > (2 if signed else 3) or "*" in w]
+        if words:
+            return ((frozenset().union(*(self.labels[x] for x in words)), any(x not in self.common for x in words)),)
+        if len(w) >= 8:
+            for c in self._chains(_bare(part.translate(_SIGNS)), 8):
+                if len(w) <= 24 and not c[0]:
+                    continue
+                return tuple((self.labels.get(x, frozenset()), x in self.labels and x not in self.common) for x in c[1])
+        return ((frozenset(), False),)
+
+    def _chains(self, w: str, least: int) -> list[tuple[bool, list[str]]]:
+        """Stretches of w that are words run together and hold a telling one: (is it all of w, words).
+
+        One pass finds every known word; a stretch is continued from the words
+        that end where the next begins, or one letter before (an article).
+        Within a longer text a stretch must have 12 letters or more, so that
+        random letters give none.
+        """
+        ends: dict[int, tuple[int, bool, int, str]] = {}
+        for at, (n, word, tells) in self.run_on.iter(w):
+            start, end = at + 1 - n, at + 1
+            prev = ends.get(start)
+            if prev is None and start and w[start - 1] in "aiu":
+                prev, start = ends.get(start - 1), start - 1
+                if prev is None:
+                    start += 1
+            new = (end - start + (prev[0] if prev else 0), tells or bool(prev and prev[1]), start if prev else -1, word)
+            if end not in ends or new[:2] > ends[end][:2]:
+                ends[end] = new
+        out, limit = [], len(w) + 1
+        for end in sorted(ends, reverse=True):
+            covered, tells, _, _ = ends[end]
+            if end > limit or not tells or covered < (least if covered == len(w) else 12):
+                continue
+            words, at = [], end
+            while at in ends:
+                words.append(ends[at][3])
+                if ends[at][2] < 0:
+                    break
+                at = ends[at][2]
+            limit = end - covered
+            out.append((covered == len(w), words[::-1]))
+        return out
+
+    def _unblob(self, m: re.Match) -> str:
+        """Encoded data as a space; words run together within it as words."""
+        got = self._chains(_bare(m[0].translate(_SIGNS)), 12)
+        return " ".join(["", *(x for _, c in reversed(got) for x in c), ""]) if got else " "
 
     def lines(self, text: str) -> list[str]:
         """The cells of a text as lines, with escapes, look-alikes and invisible signs undone."""
-        if text.startswith("{") and '"cells"' in text[:200]:
+        if text.lstrip().startswith(("{", "[")):
             try:
                 text = "\n".join(_strings(json.loads(text)))
             except (ValueError, RecursionError):
@@ -191,15 +325,16 @@ class AbuseScorer:
             text = _INVISIBLE.sub("", text)
             if _FOREIGN.search(text):
                 text = text.translate(_LOOKALIKE)
-        return _BLOB.sub(" ", text).split("\n")
+        return _BLOB.sub(self._unblob, text).split("\n")
 
     def score(self, text: str) -> tuple[dict[str, float], int]:
         """Evidence of each kind in a text, and the number of lines that hold any."""
         total, hits = dict.fromkeys(KINDS, 0.0), 0
         cache = self.cache
-        for line in self.lines(text):
+        lines = self.lines(text)
+        for k, line in enumerate(lines):
             tokens = _TOKEN.findall(line)
-            if not tokens or len(tokens) == 1 and "_" not in tokens[0]:
+            if not tokens:
                 continue
             loud = False
             for t in tokens:
@@ -207,45 +342,69 @@ class AbuseScorer:
                 if r is not None and any(x[1] for x in r):
                     loud = True
                     break
-            spelled = not loud and sum(len(t) == 1 for t in tokens) >= 4
+            spelled = not loud and sum(len(t) == 1 for t in tokens) >= 3
             if not loud and not spelled:
                 continue
+            if len(tokens) == 1 and len(cache[tokens[0]] or ()) < 2 and self._listed(lines, k):
+                continue
             found = self.judge(line, tokens)
             if any(found.values()):
                 hits += 1
-                for k, v in found.items():
-                    total[k] += v
+                for kind, v in found.items():
+                    total[kind] += v
         return total, hits
 
+    def _listed(self, lines: list[str], k: int) -> bool:
+        """Is a line of one word an entry of a list of words, or beside talk of such words?"""
+        for near in lines[max(0, k - 2) : k] + lines[k + 1 : k + 3]:
+            words = _TOKEN.findall(near)
+            if len(words) == 1 and len(near.split()) <= 2 or any("@META" in x[0] for t in words for x in self.read_cached(t) or ()):
+                return True
+        return False
+
     def judge(self, line: str, tokens: list[str]) -> dict[str, float]:
         """Evidence in one line: rules met by its words, less in a context of quotation."""
-        if sum(bool(_SIGNED.search(t)) and bool(self.read_cached(t)) for t in tokens) >= 2:
-            tokens = _SIGNED_TOKEN.findall(line)  # words all of signs, too: 455, +0
+        signed = False
+        if any(_SIGNED.search(t) for t in tokens):
+            # an identifier counts as the words in it
+            heard = sum(bool(_SIGNED.search(p)) and bool(self.read_cached(p)) for t in tokens for p in t.split("_"))
+            if heard >= 2:
+                signed = True
+                tokens = _SIGNED_TOKEN.findall(line)  # words all of signs, too: 455, +0
         words: list[frozenset[str]] = []
         single: list[str] = []
+        last = ""
 
         def spell() -> None:
-            if len(single) >= 4:
-                words.append(self._known("".join(single)))
+            whole = "".join(single)
+            if len(single) >= 4 and self.read_cached(whole):
+                words.extend(x[0] for x in self.read_cached(whole))
+            elif len(single) >= 3 and len(last) in (2, 3) and self._known(last + whole):
+                words[-1] = self._known(last + whole)
             else:
                 for s in single:
-                    words.append(self._known(s))
+                    words.append(self._known(s, signed))
             single.clear()
 
         for t in tokens:
             if len(t) == 1:
                 single.append(t)
                 continue
-            spell()
-            r = self.read_cached(t)
+            if single:
+                spell()
+            last = t
+            r = self.read_cached(t, signed)
             if r is None:
                 words.append(frozenset())
                 continue
             for labels, _ in r:
-                if "@INSULT" in labels and re.search(_MENTION.format(re.escape(t)), line):
+                if len(r) == 1 and "@INSULT" in labels and re.search(_MENTION.format(re.escape(t)), line):
                     labels = frozenset({"@META"})
                 words.append(labels)
         spell()
+        for i in range(1, len(words)):
+            if "@PEOPLE" in words[i] and "@TRAIT" in words[i - 1]:
+                words[i] = words[i] | {"@GROUP"}
 
         at: dict[str, list[int]] = {}
         for i, labels in enumerate(words):
@@ -270,8 +429,8 @@ class AbuseScorer:
         # The strongest rule counts in full, others add half: two weak ones make a case.
         return {k: max(v) + 0.5 * (sum(v) - max(v)) for k, v in best.items()}
 
-    def _known(self, token: str) -> frozenset[str]:
-        r = self.read_cached(token)
+    def _known(self, token: str, signed: bool = False) -> frozenset[str]:
+        r = self.read_cached(token, signed)
         return r[0][0] if r else frozenset()
 
 
@@ -302,7 +461,8 @@ def _strings(x: object) -> Iterator[str]:
     if isinstance(x, str):
         yield x
     elif isinstance(x, dict):
-        for v in x.values():
+        for k, v in x.items():
+            yield k
             yield from _strings(v)
     elif isinstance(x, list):
         for v in x:
@@ -320,6 +480,10 @@ def abuse_scores(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     for insult, threat, hate and sexual language; the score is 1 - 2^-(evidence).
     Evidence of 1, a score of 0.5, is one plain case.
 
+    Tokens of any length are read: those beyond 24 letters, words run together
+    and runs of encoded data as the words they are made of. A line of one word
+    is judged too, unless it is one of a list of words.
+
     A null or empty text has score 0. Texts are independent of one another, so
     there is no shuffle; repeated rows are scored alike.
     """

@@ -3,12 +3,13 @@
 import datetime as dt
 import json
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronopanel.llm.abuse import AbuseScorer, LevenshteinAutomaton, Trie, abuse_rates, abuse_scores, budget, fold
+from chronopanel.llm.abuse import AbuseScorer, LevenshteinAutomaton, Reach, Trie, abuse_rates, abuse_scores, budget, fold
 from chronopanel.llm.linkage import GENERIC_WORDS, name_words, soft_match, words_similarity
 from chronopanel.llm.mixing import mix_sources
 from chronopanel.llm.packing import best_fit, empty_bins, pack_containers
@@ -186,12 +187,13 @@ def test_clean_source(spark):
 def cost(word, token):
     """The weighted edit distance, straight from its definition."""
     lost = lambda c: 1 if c in "aeiou" else 2
-    rows = [[3 * j for j in range(len(token) + 1)]]
+    more = [1 if t == "*" else 3 for t in token]
+    rows = [[sum(more[:j]) for j in range(len(token) + 1)]]
     for c in word:
         r = [rows[-1][0] + lost(c)]
         for j, t in enumerate(token, 1):
-            swap = 0 if t == c or (t == "*" and c in "aeiou") else 1 if t == "*" else 3
-            r.append(min(rows[-1][j - 1] + swap, rows[-1][j] + lost(c), r[-1] + 3))
+            swap = 0 if t == c or (t == "*" and c in "aeiou") else 1 if t == "*" else 3 if (c in "aeiou") == (t in "aeiou") else 4
+            r.append(min(rows[-1][j - 1] + swap, rows[-1][j] + lost(c), r[-1] + more[j - 1]))
         rows.append(r)
     return rows[-1][-1]
 
@@ -209,6 +211,57 @@ def test_automaton_equals_brute_force():
             assert sorted(LevenshteinAutomaton(t, 4).intersect(trie)) == [x for x in words if cost(x, t) <= min(4, budget(len(x)))]
 
 
+def test_prefilter_loses_nothing_the_automaton_accepts():
+    scorer = AbuseScorer()
+    rng = random.Random(4)
+    words = [w for w in scorer.labels if len(w) > 3]
+    accepted = 0
+    for w in words:
+        for _ in range(12):
+            t = list(w)
+            for _ in range(rng.randrange(1, 4)):
+                i = rng.randrange(len(t))
+                t[i] = rng.choice(["", "", t[i] + rng.choice("aeioxkt"), rng.choice("aeioxkt")])
+            t = "".join(t)
+            if t and LevenshteinAutomaton(t, 4).intersect(scorer.trie):
+                accepted += 1
+                assert scorer.reach.may(t), (w, t)
+    assert accepted > 1000 and not Reach(["motherfucker"]).may("banana")
+
+
+def test_phrases():
+    """Sentences of many kinds; not a held-out set, as rules were made more general with them."""
+    scorer, found, total = AbuseScorer(), [0, 0], [0, 0]
+    for line in (Path(__file__).parent / "data" / "abuse_phrases.txt").read_text().splitlines():
+        if not line.startswith("#"):
+            label, text = line.split("\t")
+            total[int(label)] += 1
+            found[int(label)] += max(scorer.score(f"x = 1\n{text}\nprint(x)")[0].values()) >= 1
+    assert total[1] >= 140 and found[1] >= 0.95 * total[1] and found[0] <= 0.03 * total[0], found
+
+
+@pytest.mark.parametrize("pad", ["", "x" * 250])
+def test_abuse_behind_any_amount_of_metadata(pad):
+    book = json.dumps({"metadata": {"note": pad}, "cells": [{"source": "shut up you pathetic loser"}]})
+    assert max(AbuseScorer().score(book)[0].values()) >= 1
+
+
+LONG = ["you " + "asshole" * 5, "youareamotherfucker" * 4, "youareamotherfucker" * 40, "Motherfucker!", "you-stupid-idiot", "YouStupidIdiot", "you are a moherfuker"]
+
+
+@pytest.mark.parametrize("text", LONG)
+def test_words_run_together_or_alone(text):
+    assert max(AbuseScorer().score(f"x = load(path)\n{text}\nprint(x + 1)")[0].values()) >= 1
+
+
+def test_lists_of_words_and_encoded_data_are_no_cases():
+    import base64
+
+    scorer = AbuseScorer()
+    assert max(scorer.score("counts by word\n\nidiot\nasshole\nmoron\n")[0].values()) < 1
+    assert max(scorer.score("data:image/png;base64," + base64.b64encode(random.Random(3).randbytes(400_000)).decode())[0].values()) < 1
+
+
 CASES = [
     "shut up you pathetic loser", "5hu+ up y0u p4+h3+1c l053r", "sh*t up you p*thetic l*ser", "shut up you p a t h e t i c loser", "SHUT UP YOU PATHETIC LOSER!!!",
     "shut_up_you_pathetic_loser = 3", "shuut uup youu paatheetic looser", "sh​ut​ up​ yo​u p​at​he​ti​c l​os​er", "shut uр yоu раthеtiс lоsеr",
