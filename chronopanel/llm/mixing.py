@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronopanel.session import checkpoint
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, *, doc: str, source: str, size: str, mix: str, share: str, repeats: str, buckets: int = 1024, seed: int = 3) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, targets: DataFrame, *, doc: str, source: str, size: str, mix: str, share: str, repeats: str, rows_per_bucket: int = 20_000, seed: int = 3) -> tuple[DataFrame, DataFrame]:
     """Documents of each mix in queue order, and the shares really reached.
 
     docs: one row per document with its source and size. targets: for each mix
@@ -22,8 +22,10 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, doc: str, source: str, s
     by the weight. The queues are merged by finish time and cut at the budget,
     so every prefix of a mix has the target shares to within a document a
     source. Cumulative sums are taken per bucket of the hash, respectively of
-    the finish time, plus the sums of the buckets before, so no task sees more
-    than a bucket of a source, however large.
+    the finish time, plus the sums of the buckets before. There are as many
+    buckets as the rows need, so that one holds about `rows_per_bucket` rows of
+    all sources together, however many there are. The picks are range-sorted by
+    mix and place in the queue.
 
     Returns (picks, shares): picks has the mix, doc, source, copy (from 1),
     size, finish and upto (the mix's tokens up to and with this copy); shares
@@ -37,7 +39,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, doc: str, source: str, s
     have = docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.col(size).cast("long").alias("size")).where("size > 0 and source is not null")
     goal = targets.select(F.col(mix).alias("mix"), F.col(source).alias("source"), F.col(share).cast("double").alias("share"), F.col(repeats).cast("int").alias("reps"))
     h = F.xxhash64("doc", F.lit(seed))
-    queue = checkpoint(have.select("*", h.alias("h"), F.pmod(h, F.lit(buckets)).cast("int").alias("b")))
+    queue = checkpoint(have.select("*", h.alias("h")))
+    n_docs = queue.count()
+    queue = queue.withColumn("b", F.pmod("h", F.lit(max(1, -(-n_docs // rows_per_bucket)))).cast("int"))
     sums = queue.groupBy("source", "b").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("k"))
     start = sums.select("source", "b", (F.sum("n").over(Window.partitionBy("source").orderBy("b")) - F.col("n")).alias("start"))
     totals = sums.groupBy("source").agg(F.sum("n").alias("total"), F.sum("k").alias("docs"))
@@ -54,7 +58,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, doc: str, source: str, s
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("reps")))).withColumn("finish", (F.col("cum") + (F.col("copy") - 1) * F.col("total")) / F.col("weight"))
     # Nothing that ends after the budget can be in; this keeps the merge small.
     # The tolerance is for the division; a source that is used up ends on the budget.
-    copies = copies.where(F.col("finish") <= F.col("budget") * (1 + 1e-12)).withColumn("fb", F.least(F.lit(buckets - 1), F.floor(F.col("finish") / F.col("budget") * buckets)).cast("int"))
+    # Finish times of a source are even, so buckets of equal time hold about equally many rows.
+    most = max(1, -(-n_docs * (plan.agg(F.max("reps")).first()[0] or 1) // rows_per_bucket))
+    copies = copies.where(F.col("finish") <= F.col("budget") * (1 + 1e-12)).withColumn("fb", F.least(F.lit(most - 1), F.floor(F.col("finish") / F.col("budget") * most)).cast("int"))
     # The same rows are summed by bucket and then ordered within buckets.
     copies = checkpoint(copies.select("mix", "doc", "source", "copy", "size", "finish", "fb", "budget", "h"))
     heads = copies.groupBy("mix", "fb").agg(F.sum("size").alias("n"))
@@ -76,4 +82,5 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, doc: str, source: str, s
             F.coalesce("budget", F.lit(0.0)).alias("budget"),
         )
     )
+    picks = picks.orderBy("mix", "upto", "doc", "copy")
     return picks.select(F.col("mix").alias(mix), F.col("doc").alias(doc), F.col("source").alias(source), "copy", F.col("size").alias(size), "finish", "upto"), shares

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Mapping
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,83 +34,111 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def empty_bins(bins: list[list[int]], sizes: np.ndarray, capacity: int, patience: int = 24, pairs: int = 40) -> list[list[int]]:
-    """Empty the least filled bins by moves and swaps that raise the squared fill.
+def empty_bins(bins: list[list[int]], sizes: np.ndarray, capacity: int, table: int = 64) -> list[list[int]]:
+    """Empty bins by moves and swaps between underfull bins that raise the squared fill.
 
-    The least filled bin is the donor. Every bin with room, the fullest first,
-    takes from it by the step that fills it most: it takes one item, exchanges
-    one for one, two of its own for one, or one of its own for two. Each step
-    makes the fuller bin fuller, so the sum of squared fills rises; a donor that
-    ends empty is gone. Ends after `patience` donors in a row that could not be
-    emptied, or when no bin can be saved. Bins of more than `pairs` items offer
-    only single items, not pairs (a choice of neighbourhood; no item is left out).
+    Bins are filled up in order of falling fill. A bin takes from the bins below
+    it by the step that fills it most: it takes an item or two of one bin, or
+    exchanges one of its own for one, one for two of one bin, or two for one.
+    The bin gains what the lower one loses, so the sum of squared fills rises
+    with every step and the search ends: when no bin can be saved (the count is
+    the total over the capacity), or when no step is left. What lower bins offer
+    is kept in order, single items and pairs, so a step is a few binary
+    searches; pairs of bins of more than `table` items are searched from both
+    ends instead of being listed.
     """
     size = [int(x) for x in sizes]
+    by = lambda i: (size[i], i)
     fill = [sum(size[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity) if bins else 0
-    live = len(bins)
-    queue = [(f, b) for b, f in enumerate(fill)]
-    heapq.heapify(queue)
-    failed = 0
-    while queue and failed < patience and live > least:
-        f, d = heapq.heappop(queue)
-        if f != fill[d] or not bins[d]:
-            continue
-        own = sorted((size[i], i) for i in bins[d])
-        takers = sorted(((fill[b], b) for b in range(len(bins)) if b != d and bins[b] and fill[b] < capacity and fill[b] >= fill[d]), reverse=True)
-        for _, r in takers:
-            if not own:
-                break
-            gap = capacity - fill[r]
-            while own and gap > 0:
-                best: tuple[int, list[int], list[tuple[int, int]]] | None = None
-                at = bisect_right(own, (gap, 1 << 60)) - 1
-                if at >= 0 and own[at][0] > 0:
-                    best = (own[at][0], [], [own[at]])
-                mine = sorted((size[i], i) for i in bins[r])
-                if best is None or best[0] < gap:
-                    for a, i in mine:  # one for one
-                        at = bisect_right(own, (a + gap, 1 << 60)) - 1
-                        if at >= 0 and own[at][0] > a and (best is None or own[at][0] - a > best[0]):
-                            best = (own[at][0] - a, [i], [own[at]])
-                if (best is None or best[0] < gap) and len(mine) <= pairs:
-                    for x in range(len(mine)):  # two of its own for one
-                        for y in range(x):
-                            a = mine[x][0] + mine[y][0]
-                            at = bisect_right(own, (a + gap, 1 << 60)) - 1
-                            if at >= 0 and own[at][0] > a and (best is None or own[at][0] - a > best[0]):
-                                best = (own[at][0] - a, [mine[x][1], mine[y][1]], [own[at]])
-                if (best is None or best[0] < gap) and len(own) <= pairs:
-                    small = [m[0] for m in mine]
-                    for x in range(len(own)):  # one of its own for two
-                        for y in range(x):
-                            c = own[x][0] + own[y][0]
-                            at = bisect_left(small, c - gap)
-                            if at < len(mine) and mine[at][0] < c and (best is None or c - mine[at][0] > best[0]):
-                                best = (c - mine[at][0], [mine[at][1]], [own[x], own[y]])
-                if best is None:
+    bins = [sorted(b, key=by) for b in bins]
+    where = {i: k for k, b in enumerate(bins) for i in b}
+    least = -(-sum(fill) // capacity)
+    live = sum(bool(b) for b in bins)
+    moved = True
+    while moved and live > least:
+        moved = False
+        order = sorted((k for k, b in enumerate(bins) if b and fill[k] < capacity), key=lambda k: (-fill[k], k))
+        done = [False] * len(bins)
+        single = sorted((size[i], i) for k in order for i in bins[k] if size[i])
+        pairs = sorted((size[b[x]] + size[b[y]], b[y], b[x], k) for k in order for b in [bins[k]] if len(b) <= table for x in range(len(b)) for y in range(x))
+        sums = [x[0] for x in pairs]
+        long = [k for k in order if len(bins[k]) > table]
+
+        def lower(k: int, r: int, gain: int) -> bool:
+            return k != r and not done[k] and fill[k] < fill[r] + gain
+
+        def one(r: int, give: int, gap: int, beat: int) -> tuple[int, tuple[int, ...]]:
+            """The greatest gain of more than `beat` from one item for `give`, within the gap."""
+            at = bisect_right(single, (give + gap, 1 << 62)) - 1
+            while at >= 0 and single[at][0] - give > beat:
+                s, i = single[at]
+                if lower(where[i], r, s - give):
+                    return s - give, (i,)
+                at -= 1
+            return 0, ()
+
+        def two(r: int, give: int, gap: int, beat: int) -> tuple[int, tuple[int, ...]]:
+            """The same from two items of one bin."""
+            got: tuple[int, tuple[int, ...]] = (0, ())
+            at = bisect_right(sums, give + gap) - 1
+            while at >= 0 and sums[at] - give > beat:
+                s, i, j, k = pairs[at]
+                if where[i] == k and where[j] == k and lower(k, r, s - give):
+                    beat, got = s - give, (s - give, (i, j))
                     break
-                _, give, take = best
-                for t in take:
-                    own.remove(t)
-                    bins[r].append(t[1])
-                for i in give:
-                    bins[r].remove(i)
-                    insort(own, (size[i], i))
-                fill[r] += best[0]
-                gap -= best[0]
-        bins[d] = [i for _, i in own]
-        fill[d] = sum(s for s, _ in own)
-        if own:
-            failed += 1
-        else:
-            live -= 1
-            failed = 0
+                at -= 1
+            for k in long:
+                b, lo, hi = bins[k], 0, len(bins[k]) - 1
+                while lo < hi and beat < gap:
+                    s = size[b[lo]] + size[b[hi]]
+                    if s > give + gap:
+                        hi -= 1
+                        continue
+                    if s - give > beat and lower(k, r, s - give):
+                        beat, got = s - give, (s - give, (b[lo], b[hi]))
+                    lo += 1
+            return got
+
+        for r in order:
+            while bins[r] and fill[r] < capacity:
+                gap, mine = capacity - fill[r], bins[r]
+                gives: Iterator[tuple[int, ...]] = chain([()], ((i,) for i in mine))
+                best: tuple[int, tuple[int, ...], tuple[int, ...]] = (0, (), ())
+                seen = set()
+                for g in chain(gives, ((mine[x], mine[y]) for x in range(len(mine)) for y in range(x))):
+                    give = sum(size[i] for i in g)
+                    if (len(g), give) in seen:
+                        continue
+                    seen.add((len(g), give))
+                    for search in (one,) if len(g) == 2 else (one, two):
+                        gain, take = search(r, give, gap, best[0])
+                        if gain > best[0]:
+                            best = (gain, g, take)
+                    if best[0] == gap:
+                        break
+                gain, give_up, take = best
+                if not gain:
+                    break
+                d = where[take[0]]
+                for items, a, b in ((take, d, r), (give_up, r, d)):
+                    for i in items:
+                        bins[a].remove(i)
+                        insort(bins[b], i, key=by)
+                        where[i] = b
+                fill[r] += gain
+                fill[d] -= gain
+                live -= not bins[d]
+                moved = True
+            # a bin that is done offers nothing to those below it
+            done[r] = True
+            for i in bins[r]:
+                if size[i]:
+                    del single[bisect_left(single, (size[i], i))]
     return [b for b in bins if b]
 
 
 def pack_containers(
-    items: DataFrame, capacities: Mapping[str, int], *, item: str, size: str, items_per_shard: int = 10_000, reopened: float = 0.02, merge: int = 32, seed: int = 11
+    items: DataFrame, capacities: Mapping[str, int], *, item: str, size: str, items_per_shard: int = 10_000, reopened: float = 0.02, merge: int = 32, seed: int = 11, with_start: bool = False
 ) -> DataFrame:
     """An assignment of items to containers of each capacity with little unused space.
 
@@ -118,8 +146,10 @@ def pack_containers(
     unless it exceeds the capacity: then it fills whole containers and its rest
     is an item like others; pieces count from 0. Every item has a row for each
     capacity; one of size 0 or null lies in some container and takes no space.
+    `with_start` adds shard and best_fit, the number of containers in which best
+    fit alone puts that shard.
 
-    Items are spread at random over shards of about `items_per_shard`, each
+    Pieces are spread at random over shards of about `items_per_shard`, each
     packed by best fit and the swap search of `empty_bins`. The least filled
     share `reopened` of each shard's containers is then packed anew together
     with that of `merge` - 1 other shards. What a task holds is bounded by the
@@ -130,24 +160,31 @@ def pack_containers(
     are kept.
     """
     small = checkpoint(items.select(F.col(item).alias("item"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size")))
-    shards = max(1, -(-small.count() // items_per_shard))
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(int(v)).cast("long").alias("cap")) for k, v in sorted(capacities.items())])).alias("c")
+    caps = sorted((k, int(v)) for k, v in capacities.items())
+    parts = lambda cap: F.greatest(F.lit(1).cast("long"), F.ceil(F.col("size") / F.lit(cap)))
+    pieces = small.agg(*[F.coalesce(F.sum(parts(v)), F.lit(0).cast("long")).alias(f"n{i}") for i, (_, v) in enumerate(caps)]).first()
+    shards = [max(1, -(-n // items_per_shard)) for n in pieces]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).cast("long").alias("cap"), F.lit(n).cast("long").alias("shards")) for (k, v), n in zip(caps, shards, strict=True)])).alias("c")
     rows = (
-        small.select("item", "size", F.pmod(F.xxhash64("item", "size", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"), each)
-        .select(F.col("c.name").alias("name"), F.col("c.cap").alias("cap"), "shard", "item", "size")
+        small.select("item", "size", each)
+        .select(F.col("c.name").alias("name"), F.col("c.cap").alias("cap"), F.col("c.shards").alias("shards"), "item", "size")
         .withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("cap"))).cast("int"))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("shard", F.pmod(F.xxhash64("item", "size", "piece", F.lit(seed)), "shards").cast("int"))
         .withColumn("size", F.when(F.col("piece") < F.col("parts") - 1, F.col("cap")).otherwise(F.col("size") - F.col("cap") * (F.col("parts") - 1)))
-        .drop("parts")
+        .select("name", "cap", "shard", F.col("shard").alias("home"), F.lit(0).cast("long").alias("fit"), "item", "size", "piece")
     )
     types = dict(small.dtypes)
-    out = f"name string, cap long, shard int, item {types['item']}, size long, piece int, bin string, open boolean"
+    out = f"name string, cap long, shard int, home int, fit long, item {types['item']}, size long, piece int, bin string, open boolean"
 
     def packer(level: str, share: float):  # noqa: ANN202
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["item", "piece", "size"], kind="stable", ignore_index=True)
             cap, sizes = int(pdf["cap"].iloc[0]), pdf["size"].to_numpy()
-            bins = empty_bins(best_fit(sizes, cap), sizes, cap)
+            start = best_fit(sizes, cap)
+            if level == "a":
+                pdf["fit"] = len(start)
+            bins = empty_bins(start, sizes, cap)
             fills = np.array([sizes[b].sum() for b in bins])
             loose = np.zeros(len(bins), bool)
             if share:
@@ -159,13 +196,14 @@ def pack_containers(
             for k, b in enumerate(bins):
                 where[b] = f"{level}{shard}-{k}"
                 opened[b] = loose[k]
-            return pdf.assign(bin=where, open=opened)[["name", "cap", "shard", "item", "size", "piece", "bin", "open"]]
+            return pdf.assign(bin=where, open=opened)[["name", "cap", "shard", "home", "fit", "item", "size", "piece", "bin", "open"]]
 
         return run
 
-    first = rows.groupBy("name", "cap", "shard").applyInPandas(packer("a", reopened if shards > 1 else 0.0), out)
-    if shards > 1:
+    first = rows.groupBy("name", "cap", "shard").applyInPandas(packer("a", reopened if max(shards, default=1) > 1 else 0.0), out)
+    if max(shards, default=1) > 1:
         first = checkpoint(first)
         again = first.where("open").withColumn("shard", F.floor(F.col("shard") / merge).cast("int")).drop("bin", "open").groupBy("name", "cap", "shard").applyInPandas(packer("b", 0.0), out)
         first = first.where("not open").unionByName(again)
-    return first.select(F.col("name").alias("container_name"), F.col("bin").alias("container_id"), F.col("item").alias(item), "piece", F.col("size").alias(size))
+    extra = [F.col("home").alias("shard"), F.col("fit").alias("best_fit")] if with_start else []
+    return first.select(F.col("name").alias("container_name"), F.col("bin").alias("container_id"), F.col("item").alias(item), "piece", F.col("size").alias(size), *extra)

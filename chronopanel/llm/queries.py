@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions.keys import open_end, source_key, ticker_key
 from chronopanel.llm.abuse import abuse_rates, abuse_scores
-from chronopanel.llm.linkage import GENERIC_WORDS, NOTE_WORDS, name_words, soft_match, words_similarity
+from chronopanel.llm.linkage import common_words, phrases, soft_match, without, words_of, words_similarity
 from chronopanel.llm.mixing import mix_sources
 from chronopanel.llm.packing import pack_containers
 from chronopanel.llm.tokens import token_counts
-from chronopanel.llm.truth import chain_groups, discover_truth
+from chronopanel.llm.truth import best_claims, chain_groups, discover_truth
 from chronopanel.operators.history import version_history
 from chronopanel.session import checkpoint, table
 
@@ -54,26 +54,28 @@ def duplicate_claims(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _discover(spark: SparkSession, d: str, strict: bool) -> tuple[DataFrame, DataFrame]:
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The wanted order of claims ends in a unique id, so no vote can move a row: one aggregate by that order."""
     claims = duplicate_claims(spark, d).where("not withdrawn")
-    weight = F.pow(F.lit(2.0), F.col("tier_rank")) * (1 + F.col("said_rank"))
-    grounds = [F.col("tier_rank"), F.col("said_rank"), F.col("ingested_at"), F.col("membership_id")] if strict else []
-    return discover_truth(claims, group="group_id", claim_id="membership_id", source="src", weight=weight, fields=FIELDS, precedence=grounds)
+    best = best_claims(claims, group="group_id", claim_id="membership_id", order=["tier_rank", "said_rank", "ingested_at", "membership_id"], fields=FIELDS)
+    return best.select("group_id", "field_name", "membership_id")
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _discover(spark, d, True)[0].select("group_id", "field_name", "membership_id")
+def _discover(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    claims = duplicate_claims(spark, d).where("not withdrawn")
+    weight = F.pow(F.lit(2.0), F.col("tier_rank")) * (1 + F.col("said_rank"))
+    return discover_truth(claims, group="group_id", claim_id="membership_id", source="src", weight=weight, fields=FIELDS)
 
 
 def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
     """One record per group by votes alone, with the support of each value."""
-    v = _discover(spark, d, False)[0]
+    v = _discover(spark, d)[0]
     wide = v.groupBy("group_id").pivot("field_name", list(FIELDS)).agg(F.first("value").alias("value"), F.round(F.first("support"), 6).alias("support"))
     return wide
 
 
 def p1_sources(spark: SparkSession, d: str) -> DataFrame:
-    return _discover(spark, d, False)[1].select(F.col("src").alias("source_key"), F.round("reliability", 6).alias("reliability"), "votes")
+    return _discover(spark, d)[1].select(F.col("src").alias("source_key"), F.round("reliability", 6).alias("reliability"), "votes")
 
 
 def _digits(c: str) -> Column:
@@ -90,7 +92,7 @@ def listing_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs with support and grounds against, and each row's class of exact copies."""
     far_past, far_future = F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date")
     sec = table(spark, d, "securities").where("security_id is not null")
-    sec = sec.select("security_id", ticker_key("primary_ticker").alias("primary"), _digits("cik").alias("cik"), name_words(F.col("name"), GENERIC_WORDS).alias("words"), F.upper(F.coalesce(F.nullif(F.regexp_extract(F.coalesce("name", F.lit("")), r"(?i)\bcl(?:ass)?\.?\s+([A-Z])\s*$", 1), F.lit("")), F.nullif(F.regexp_extract(F.trim("primary_ticker"), r"[./\- ]([A-Za-z])$", 1), F.lit("")))).alias("cls"))
+    sec = sec.select("security_id", ticker_key("primary_ticker").alias("primary"), _digits("cik").alias("cik"), words_of(F.col("name")).alias("words"), F.col("name").alias("text"), F.upper(F.coalesce(F.nullif(F.regexp_extract(F.coalesce("name", F.lit("")), r"(?i)\bcl(?:ass)?\.?\s+([A-Z])\s*$", 1), F.lit("")), F.nullif(F.regexp_extract(F.trim("primary_ticker"), r"[./\- ]([A-Za-z])$", 1), F.lit("")))).alias("cls"))
     # Tickers with the time a security bore them. What the first version was before
     # it was first seen is unknown, so that version reaches back without end.
     key = ticker_key("ticker")
@@ -116,32 +118,42 @@ def listing_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         F.nullif(ticker_key(listed), F.lit("")).alias("tick2"),
         _digits("cik").alias("cik"),
         F.nullif(F.regexp_replace(F.upper("isin"), "[^A-Z0-9]", ""), F.lit("")).alias("isin"),
-        name_words(F.regexp_replace(F.coalesce("notes", F.lit("")), r"\(listing [^)]*\)|8-K", " "), GENERIC_WORDS | NOTE_WORDS).alias("words"),
+        words_of(F.col("notes")).alias("words"),
+        F.lower(F.trim("notes")).alias("text"),
         F.upper(F.coalesce(F.nullif(F.regexp_extract(F.trim("ticker"), r"[./\- ]([A-Za-z])$", 1), F.lit("")), F.nullif(F.regexp_extract(listed, r"[./\-]([A-Za-z])$", 1), F.lit("")))).alias("cls"),
         F.coalesce("valid_from", far_past).alias("since"),
         F.coalesce("valid_to", far_future).alias("until"),
     )
     # Exact copies are matched once; the classes are joined back at the end.
-    said = ["tick", "tick2", "cik", "isin", "words", "cls", "since", "until"]
+    said = ["tick", "tick2", "cik", "isin", "text", "cls", "since", "until"]
     # The key is a digest, so that a class of any size is combined before the shuffle.
     ident = checkpoint(ident.withColumn("_key", F.sha2(F.to_json(F.struct(*said)), 256)))
     copies = checkpoint(ident.join(ident.groupBy("_key").agg(F.min("identifier_id").alias("copy_of")), "_key").drop("_key"))
     rep = copies.where("identifier_id = copy_of").drop("copy_of").withColumnRenamed("identifier_id", "rid")
 
+    # What tells one company from another is any word that few rows have.
+    common = common_words(sec.select("words").unionByName(rep.select("words")), "words")
+    sec = sec.withColumn("words", without(F.col("words"), common))
+    rep = rep.withColumn("words", without(F.col("words"), common))
+
     by_tick = rep.select("rid", F.explode(F.array_compact(F.array("tick", "tick2"))).alias("tick")).distinct().join(ticks.select("security_id", "tick"), "tick").select("security_id", "rid")
     by_cik = rep.where("cik is not null").select("rid", "cik").join(sec.where("cik is not null").select("security_id", "cik"), "cik").select("security_id", "rid")
     by_word = rep.select("rid", F.explode("words").alias("w")).join(sec.select("security_id", F.explode("words").alias("w")), "w").select("security_id", "rid")
+    # Names of nothing but common words are met as whole phrases, in texts that name no other company.
+    by_phrase = phrases(sec.where("size(words) = 0").select("security_id", "text"), rep.where("size(words) = 0").select("rid", "text"), "text", "security_id", "rid")
     found = by_tick.unionByName(by_cik).unionByName(by_word).distinct()
-    same = rep.where("isin is not null").select("rid", "isin")
+    found = found.join(by_phrase.withColumn("phrase", F.lit(True)), ["security_id", "rid"], "full")
+    # An ISIN carries a match on to other rows, unless so many different rows have it that it names nothing.
+    same = rep.where("isin is not null").select("rid", "isin", F.count(F.lit(1)).over(Window.partitionBy("isin")).alias("n")).where("n between 2 and 200").drop("n")
     by_isin = found.join(same, "rid").select("security_id", "isin").distinct().join(same, "isin").select("security_id", "rid")
-    cand = found.unionByName(by_isin).distinct()
+    cand = found.unionByName(by_isin.withColumn("phrase", F.lit(None).cast("boolean"))).groupBy("security_id", "rid").agg(F.bool_or("phrase").alias("phrase"))
 
     own = ticks.groupBy("security_id").agg(F.collect_list(F.struct("tick", "times")).alias("ticks"))
-    p = cand.join(rep.select("rid", *[F.col(c).alias(f"i_{c}") for c in said]), "rid").join(sec, "security_id").join(own, "security_id", "left")
+    p = cand.join(rep.select("rid", "words", *said).toDF("rid", "i_words", *[f"i_{c}" for c in said]), "rid").join(sec, "security_id").join(own, "security_id", "left")
     mine = F.coalesce("ticks", F.array().cast(own.schema["ticks"].dataType))
     equal = lambda t: F.coalesce((t["tick"] == F.col("i_tick")) | (t["tick"] == F.col("i_tick2")), F.lit(False))
     during = lambda t: F.exists(t["times"], lambda x: (x["since"] < F.col("i_until")) & (F.col("i_since") < x["until"]))
-    sim = words_similarity(F.col("words"), F.col("i_words"))
+    sim = F.when(F.col("phrase"), 1.0).otherwise(words_similarity(F.col("words"), F.col("i_words")))
     p = p.select(
         "security_id",
         "rid",
@@ -203,15 +215,18 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, by best fit alone and at least, and how full they are."""
     caps = capacities(spark, d)
     cap = F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(v))])[F.col("container_name")]
+    out = checkpoint(pack_containers(document_sizes(spark, d), caps, item="doc_id", size="tokens", with_start=True))
+    fit = out.groupBy("container_name", "shard").agg(F.max("best_fit").alias("n")).groupBy("container_name").agg(F.sum("n").alias("best_fit_containers"))
     return (
-        p8_containers(spark, d)
-        .groupBy("container_name", "container_id")
+        out.groupBy("container_name", "container_id")
         .agg(F.sum("tokens").alias("fill"))
         .groupBy("container_name")
         .agg(F.count(F.lit(1)).alias("containers"), F.sum("fill").alias("tokens"), F.max("fill").alias("fullest"))
-        .select("container_name", "containers", "tokens", "fullest", F.ceil(F.col("tokens") / cap).alias("least_containers"), F.round(F.col("tokens") / (F.col("containers") * cap), 6).alias("share_filled"))
+        .join(fit, "container_name")
+        .select("container_name", "containers", "best_fit_containers", "tokens", "fullest", F.ceil(F.col("tokens") / cap).alias("least_containers"), F.round(F.col("tokens") / (F.col("containers") * cap), 6).alias("share_filled"))
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,21 @@ def chain_groups(df: DataFrame, keys: Sequence[str], date: str, row_id: str, gap
     return df.join(days, [*keys, date])
 
 
+def best_claims(claims: DataFrame, *, group: str, claim_id: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """For each group and field the greatest claim by `order` that has a value in the field.
+
+    Returns the group, field_name, `claim_id` and value. One aggregate, combined
+    before the shuffle, so a group of any size is no more than a row a field and
+    task. Nulls come last in each ground; of claims equal in all of `order` the
+    greatest value wins, so end `order` in a unique column. A null is no value;
+    a group or field without one has no row, an empty table gives none.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in fields])).alias("cell")
+    long = claims.select(F.col(group).alias("g"), F.col(claim_id).alias("id"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("o"), cells).where("cell.v is not null")
+    best = long.groupBy("g", F.col("cell.f").alias("f")).agg(F.max(F.struct("o", F.col("cell.v").alias("v"), "id")).alias("b"))
+    return best.select(F.col("g").alias(group), F.col("f").alias("field_name"), F.col("b.id").alias(claim_id), F.col("b.v").alias("value"))
+
+
 def discover_truth(
     claims: DataFrame,
     *,
@@ -35,8 +51,6 @@ def discover_truth(
     source: str,
     weight: Column,
     fields: Sequence[str],
-    precedence: Sequence[Column] = (),
-    rounds: int = 20,
     tolerance: float = 1e-4,
     prior: tuple[float, float] = (4.0, 1.0),
 ) -> tuple[DataFrame, DataFrame]:
@@ -51,15 +65,14 @@ def discover_truth(
     * reliability: the weighted share of a source's values that are the truth,
       smoothed by `prior` (agreeing and disagreeing pseudo-votes).
 
-    `precedence` (descending columns) are grounds that no number of votes
-    outweighs: they act as weights each beyond the sum of all lesser ones, so
-    support is compared first by a value's best claim in that order, then by the
-    votes. Ties end with the greatest value.
+    From the tenth round on a reliability moves only by 1 / (round - 8) of the
+    way, so the alternation ends also where two states take turns. Ties end with
+    the greatest value.
 
     Returns (values, sources): values has the group, field_name, value,
-    `claim_id` of the best claim of that value (by precedence, then weight, then
-    id), support as a share of the field's votes, and votes; sources has the
-    source, reliability and its number of votes.
+    `claim_id` of the best claim of that value (by weight, then id), support as
+    a share of the field's votes, and votes; sources has the source,
+    reliability and its number of votes.
 
     Claims are first counted per (group, field, value, source), combined before
     the shuffle, so a group of any size takes as many rows as it has distinct
@@ -67,7 +80,7 @@ def discover_truth(
     vote twice, an empty table gives empty results, a group of one claim gives
     its values.
     """
-    rank = F.struct(*[c.alias(f"p{i}") for i, c in enumerate(precedence)], weight.alias("w"), F.col(claim_id).alias("id"))
+    rank = F.struct(weight.alias("w"), F.col(claim_id).alias("id"))
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"v_{f}").alias("v")) for f in fields])).alias("cell")
     long = claims.select(F.col(group).alias("g"), F.coalesce(F.col(source), F.lit("")).alias("s"), weight.cast("double").alias("wt"), rank.alias("r"), *[F.col(f).cast("string").alias(f"v_{f}") for f in fields])
     long = long.select("g", "s", "wt", "r", cells)
@@ -81,16 +94,18 @@ def discover_truth(
 
     def choose(rel: DataFrame) -> DataFrame:
         support = votes.join(rel, "s").groupBy("g", "f", "v").agg(F.sum(F.col("wt") * F.col("rel")).alias("sup"), F.max("r").alias("r"))
-        first = F.struct(*[F.col(f"r.p{i}") for i in range(len(precedence))], F.round("sup", 9).alias("sup"), F.col("v"))
+        first = F.struct(F.round("sup", 9).alias("sup"), F.col("v"))
         return support.groupBy("g", "f").agg(F.max_by(F.struct("v", "r.id", "sup"), first).alias("best"), F.sum("sup").alias("total"))
 
-    for _ in range(rounds):
+    for i in count(1):
         truth = choose(reliability).select("g", "f", F.col("best.v").alias("t"))
         agree = F.when(F.col("v") == F.col("t"), F.col("wt")).otherwise(0.0)
-        fresh = votes.join(truth, ["g", "f"]).groupBy("s").agg(((F.sum(agree) + prior[0]) / (F.sum("wt") + sum(prior))).alias("rel"))
-        fresh = checkpoint(fresh)
-        moved = fresh.join(reliability.withColumnRenamed("rel", "old"), "s").agg(F.max(F.abs(F.col("rel") - F.col("old")))).first()[0]
-        reliability = fresh
+        share = (F.sum(agree) + prior[0]) / (F.sum("wt") + sum(prior))
+        step = 1.0 if i < 10 else 1.0 / (i - 8)
+        fresh = votes.join(truth, ["g", "f"]).groupBy("s").agg(share.alias("new")).join(reliability, "s")
+        fresh = checkpoint(fresh.select("s", (F.col("rel") + step * (F.col("new") - F.col("rel"))).alias("rel"), F.abs(step * (F.col("new") - F.col("rel"))).alias("moved")))
+        moved = fresh.agg(F.max("moved")).first()[0]
+        reliability = fresh.select("s", "rel")
         if moved is None or moved <= tolerance:
             break
     values = choose(reliability).select(

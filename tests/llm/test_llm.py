@@ -10,12 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronopanel.llm.abuse import AbuseScorer, LevenshteinAutomaton, Reach, Trie, abuse_rates, abuse_scores, budget, fold
-from chronopanel.llm.linkage import GENERIC_WORDS, name_words, soft_match, words_similarity
+from chronopanel.llm.linkage import common_words, components, phrases, soft_match, without, words_of, words_similarity
 from chronopanel.llm.mixing import mix_sources
 from chronopanel.llm.packing import best_fit, empty_bins, pack_containers
 from chronopanel.llm.queries import clean_source, withdrawn
 from chronopanel.llm.tokens import token_counts
-from chronopanel.llm.truth import chain_groups, discover_truth
+from chronopanel.llm.truth import best_claims, chain_groups, discover_truth
 
 # --- best representative ---------------------------------------------------
 
@@ -43,8 +43,35 @@ def test_truth_learns_reliability_and_respects_precedence(spark):
     assert {r["value"] for r in values.collect()} == {"right"} and {r["field_name"] for r in values.collect()} == {"v"}
     rel = {r["s"]: r["reliability"] for r in sources.collect()}
     assert rel["good"] > 0.9 > 0.3 > rel["bad"]
-    values, _ = discover_truth(claims(spark, rows), precedence=[F.col("rank"), F.col("id")], **kw)
-    assert {r["value"] for r in values.collect()} == {"wrong"}
+    best = best_claims(claims(spark, rows), group="g", claim_id="id", order=["rank", "id"], fields=["v", "w"]).collect()
+    assert len(best) == 40 and {(r["field_name"], r["value"]) for r in best} == {("v", "wrong")}
+
+
+def test_best_claims_edges(spark):
+    kw = {"group": "g", "claim_id": "id", "order": ["rank", "id"], "fields": ["v", "w"]}
+    assert best_claims(claims(spark, []), **kw).count() == 0
+    rows = [(1, 1, "a", 2, None, "x"), (1, 2, "b", 1, "y", None), (1, 3, "b", None, "z", None), (1, 2, "b", 1, "y", None), (2, 4, "c", 1, None, None)]
+    got = {(r["g"], r["field_name"]): (r["id"], r["value"]) for r in best_claims(claims(spark, rows), **kw).collect()}
+    assert got == {(1, "v"): (2, "y"), (1, "w"): (1, "x")}
+
+
+def test_truth_beats_majority_on_planted_reliabilities(spark):
+    """Six sources, each right as often as planted; the bad ones are in the majority and err alike at times."""
+    rng, rel = random.Random(5), {"a": 0.97, "b": 0.9, "c": 0.5, "d": 0.4, "e": 0.35, "f": 0.3}
+    rows, n = [], 0
+    for g in range(3000):
+        for s, r in rel.items():
+            n += 1
+            v = "t" if rng.random() < r else f"w{rng.randrange(2)}"
+            rows.append((g, n, s, 1, v, None))
+    df = claims(spark, rows)
+    values, sources = discover_truth(df, group="g", claim_id="id", source="s", weight=F.lit(1.0), fields=["v"])
+    learned = {r["s"]: r["reliability"] for r in sources.collect()}
+    assert sorted(learned, key=learned.get, reverse=True) == list(rel)
+    assert all(abs(learned[s] - r) < 0.15 for s, r in rel.items())
+    right = values.where("value = 't'").count() / 3000
+    votes = df.groupBy("g", "v").count().groupBy("g").agg(F.max_by("v", F.struct("count", "v")).alias("v"))
+    assert right > 0.9 and right > votes.where("v = 't'").count() / 3000 + 0.02
 
 
 def test_truth_edges(spark):
@@ -89,18 +116,42 @@ def solve_brute(pairs, alike_weight=2.0):
     return x
 
 
-def test_soft_match_reaches_the_optimum(spark):
+@pytest.mark.parametrize("together", [100_000, 0])
+def test_soft_match_reaches_the_optimum(spark, together):
     pairs = [(1, 10, 3.0, 1.0, "k"), (2, 10, 2.5, 1.0, None), (1, 11, 0.2, 1.0, "k"), (3, 12, 4.0, 1.0, None), (4, 13, 0.0, 9.0, None), (5, 13, 2.0, 1.0, "m"), (5, 14, 2.0, 1.0, "m")]
     df = spark.createDataFrame(pairs, "l long, r long, p double, n double, k string")
-    got = {(r["l"], r["r"]): r["confidence"] for r in soft_match(df, "l", "r", "p", "n", "k", rounds=60, tolerance=1e-4, every=20).collect()}
+    got = {(r["l"], r["r"]): r["confidence"] for r in soft_match(df, "l", "r", "p", "n", "k", together=together).collect()}
     for a, want in zip(pairs, solve_brute(pairs), strict=True):
         assert got[a[0], a[1]] == pytest.approx(want, abs=0.02), a
     assert soft_match(spark.createDataFrame([], df.schema), "l", "r", "p", "n", "k").count() == 0
 
 
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(i, f"c{i // 2}") for i in range(40)] + [(i + 1, f"c{i // 2}") for i in range(0, 20)] + [(100 + rng.randrange(30), f"d{rng.randrange(12)}") for _ in range(30)]
+    got = {r["r"]: r["part"] for r in components(spark.createDataFrame(edges, "r long, c string")).collect()}
+    want = {r: r for r, _ in edges}
+    for _ in range(60):
+        for r, c in edges:
+            want[r] = min(want[r], *(want[x] for x, y in edges if y == c))
+    assert got == want
+
+
+def test_common_words_and_phrases(spark):
+    rows = [(i, f"The {'Rail' if i % 2 else 'Media'} co{chr(97 + i % 26)}x of w{chr(97 + i // 26)}q") for i in range(100)] + [(200, "The Rail Media"), (201, None), (202, "")]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("w", words_of(F.col("t")))
+    common = common_words(df, "w")
+    assert {"the", "rail", "media"} <= set(common) and "coax" not in common
+    kept = {r["id"]: r["w"] for r in df.select("id", without(F.col("w"), common).alias("w")).collect()}
+    assert kept[200] == [] and kept[201] == [] and kept[0] == ["coax"]
+    names, texts = df.where("id in (200, 202)"), spark.createDataFrame([(7, "see: the RAIL media, page"), (8, "rail the media"), (9, None)], "tid long, t string")
+    assert [tuple(r) for r in phrases(names, texts, "t", "id", "tid").collect()] == [(200, 7)]
+
+
 def test_names(spark):
     df = spark.createDataFrame([("The Bohai-Gaeli Rail Trust", "Rail Tr of BOHAI Gaeil"), ("Aaaa Bbbb Inc", "Aaaa Cccc Ltd"), (None, "x"), ("Rail Inc", "Rail Inc")], "a string, b string")
-    got = [r[0] for r in df.select(words_similarity(name_words(F.col("a"), GENERIC_WORDS), name_words(F.col("b"), GENERIC_WORDS))).collect()]
+    generic = ["the", "rail", "trust", "inc", "ltd"]
+    got = [r[0] for r in df.select(words_similarity(without(words_of(F.col("a")), generic), without(words_of(F.col("b")), generic))).collect()]
     assert got[0] == pytest.approx(0.8) and got[1] < 0.5 and got[2] is None and got[3] is None
 
 
@@ -135,6 +186,17 @@ def test_swap_that_moving_alone_cannot_find():
     assert len(bins) == 3
 
 
+def test_swaps_save_bins_over_best_fit():
+    sizes = np.random.default_rng(0).integers(260, 450, 1500)
+    fit = best_fit(sizes, 1000)
+    bins = empty_bins([list(b) for b in fit], sizes, 1000)
+    assert sorted(i for b in bins for i in b) == list(range(1500)) and all(sizes[b].sum() <= 1000 for b in bins)
+    assert len(bins) < 0.97 * len(fit)
+    # pairs of long bins are searched, not listed
+    few = empty_bins([list(b) for b in fit], sizes, 1000, table=1)
+    assert sorted(i for b in few for i in b) == list(range(1500)) and all(sizes[b].sum() <= 1000 for b in few) and len(few) < 0.97 * len(fit)
+
+
 def test_pack(spark):
     rng = random.Random(1)
     rows = [(i, rng.randrange(0, 400)) for i in range(3000)] + [(5000, 2500), (5001, 1000), (5002, None), (5003, 0)]
@@ -159,7 +221,7 @@ def test_mix(spark):
     docs = [(i, "big" if i % 10 else "small", rng.randrange(1, 60)) for i in range(4000)] + [(9001, None, 5), (9002, "big", None), (9003, "other", 7)]
     goal = [("m", "big", 0.6, 1), ("m", "small", 0.3, 3), ("m", "absent", 0.1, 2)]
     df, g = spark.createDataFrame(docs, "doc long, source string, n long"), spark.createDataFrame(goal, MIX)
-    picks, shares = mix_sources(df, g, doc="doc", source="source", size="n", mix="mix", share="share", repeats="reps", buckets=16)
+    picks, shares = mix_sources(df, g, doc="doc", source="source", size="n", mix="mix", share="share", repeats="reps", rows_per_bucket=300)
     p = picks.orderBy("upto").collect()
     assert len({(r["doc"], r["copy"]) for r in p}) == len(p) and max(r["copy"] for r in p) <= 3 and max(r["copy"] for r in p if r["source"] == "big") == 1
     assert [r["finish"] for r in p] == sorted(r["finish"] for r in p)
