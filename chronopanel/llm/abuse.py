@@ -74,36 +74,45 @@ def budget(length: int) -> int:
     return 0 if length <= 3 else 1 if length == 4 else 2 if length == 5 else 3 if length <= 7 else 4
 
 
-def skeletons(word: str) -> set[str]:
-    """The consonants of a word, as they are and with any one left out."""
-    c = consonants(word)
-    return {c, *(c[:i] + c[i + 1 :] for i in range(len(c)))}
-
-
 def consonants(word: str) -> str:
     return "".join(x for x in word if x not in VOWELS)
 
 
-class Reach:
-    """A test that no token within the automaton's budget fails, much cheaper than the automaton.
+def one_less(word: str) -> set[str]:
+    return {word[:i] + word[i + 1 :] for i in range(len(word))}
 
-    A budget of 4 pays for one wrong or additional letter (3) with a vowel lost,
-    or for lost consonants (2 each), two at most. In the first case word and
-    token have a skeleton in common once each leaves out at most one consonant;
-    in the second the token's consonants are the word's less one or two.
+
+class Reach:
+    """A test that no token within the automaton's cost fails, much cheaper than the automaton.
+
+    It compares consonants. Of these a word loses one for 2 and two for 4; one
+    is wrong or additional for 3. So the token's consonants are the word's, or
+    the word's less one or two, or else word and token agree once the token
+    leaves out one and the word at most one. Each is kept for the words whose
+    budget pays for it, with the lengths of these words: a token has at most one
+    letter more, and at most four less.
     """
 
     def __init__(self, words: Iterator[str] | list[str]) -> None:
-        self.one: set[str] = set()
-        self.two: set[str] = set()
+        self.less: dict[str, int] = {}
+        self.swap: dict[str, int] = {}
         for w in words:
-            self.one |= skeletons(w)
-            if budget(len(w)) >= 4:
-                c = consonants(w)
-                self.two |= {c[:i] + c[i + 1 : j] + c[j + 1 :] for j in range(len(c)) for i in range(j)}
+            most, c, bit = budget(len(w)), consonants(w), 1 << len(w)
+            near = one_less(c)
+            lost = {c} | (near if most >= 2 else set()) | ({x for y in near for x in one_less(y)} if most >= 4 else set())
+            if len(w) > 3:
+                for x in lost:
+                    self.less[x] = self.less.get(x, 0) | bit
+                for x in {c} | near if most >= 3 else ():
+                    self.swap[x] = self.swap.get(x, 0) | bit
 
     def may(self, token: str) -> bool:
-        return consonants(token) in self.two or not self.one.isdisjoint(skeletons(token))
+        c, n = consonants(token), len(token)
+        lengths = 63 << (n - 1)
+        if self.less.get(c, 0) & lengths:
+            return True
+        # a token of five letters or fewer has no budget for a wrong letter
+        return n > 5 and any(self.swap.get(x, 0) & lengths for x in one_less(c))
 
 
 class LevenshteinAutomaton:
@@ -186,7 +195,7 @@ class AbuseScorer:
         self.labels = {w: frozenset({w, *c}) for w, c in labels.items()}
         # Short slurs are one letter from ordinary words: these are read as they stand.
         self.trie = Trie(sorted(w for w, x in self.labels.items() if len(w) > 6 or "@SLUR" not in x))
-        self.reach = Reach(list(self.labels))
+        self.reach = Reach(sorted(self.labels))
         self.ordinary = frozenset(fold(w) for w in ORDINARY)
         self.common = frozenset(fold(w) for w in COMMON)
         # Words run together are told apart by one pass over them.
