@@ -103,12 +103,12 @@ def listing_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         .where("k is not null")
         .unionByName(table(spark, d, "ticker_snapshots").select("security_id", F.col("snapshot_date").alias("day"), F.when(~gone, key).alias("k"), F.col("loaded_at").alias("at"), gone.alias("gone")).where("k is not null or gone").drop("gone"))
     )
-    hist = version_history(seen, "security_id", "day", "k", "at")
-    first = hist.groupBy("security_id").agg(F.min("valid_from").alias("first"))
-    born = hist.join(first, "security_id").select("security_id", F.col("value").alias("tick"), F.when(F.col("valid_from") == F.col("first"), far_past).otherwise(F.col("valid_from")).alias("since"), F.col("valid_to").alias("until"))
+    hist = version_history(seen, "security_id", "day", "k", "at").withColumn("first", F.min("valid_from").over(Window.partitionBy("security_id")))
+    born = hist.select("security_id", F.col("value").alias("tick"), F.when(F.col("valid_from") == F.col("first"), far_past).otherwise(F.col("valid_from")).alias("since"), F.col("valid_to").alias("until"))
     now = sec.where("primary is not null").select("security_id", F.col("primary").alias("tick"), F.lit(None).cast("date").alias("since"), far_future.alias("until"))
     ticks = born.unionByName(now).groupBy("security_id", "tick").agg(F.collect_list(F.struct(F.coalesce("since", far_past).alias("since"), "until", F.col("since").isNull().alias("vague"))).alias("times"))
     ticks = ticks.select("security_id", "tick", F.coalesce(F.nullif(F.filter("times", lambda t: ~t["vague"]), F.array().cast("array<struct<since:date,until:date,vague:boolean>>")), F.col("times")).alias("times"))
+    ticks = checkpoint(ticks)  # read for candidates and for scores
 
     listed = F.regexp_extract(F.coalesce("notes", F.lit("")), r"\(listing ([A-Za-z0-9.\-]+)\)", 1)
     ident = table(spark, d, "known_identifiers_seed").where("identifier_id is not null")
