@@ -45,7 +45,7 @@ def J4(spark: SparkSession, d: str) -> DataFrame:
 
 def J5(spark: SparkSession, d: str) -> DataFrame:
     cal = panel(spark, d).select("date").distinct().withColumn("g", F.lit(1))
-    return asof.asof_forward(months(spark).withColumn("g", F.lit(1)), cal, ["g"], "as_of", "date", [], strict=True).select("as_of", F.col("fact_time").alias("next_session"))
+    return asof.asof_forward(months(spark, d).withColumn("g", F.lit(1)), cal, ["g"], "as_of", "date", [], strict=True).select("as_of", F.col("fact_time").alias("next_session"))
 
 
 def J6(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,7 @@ def J6(spark: SparkSession, d: str) -> DataFrame:
 
 def J7(spark: SparkSession, d: str) -> DataFrame:
     cal = panel(spark, d).select("date").distinct().withColumn("g", F.lit(1))
-    return asof.asof_forward(months(spark).withColumn("g", F.lit(1)), cal, ["g"], "as_of", "date", []).select("as_of", F.col("fact_time").alias("session"))
+    return asof.asof_forward(months(spark, d).withColumn("g", F.lit(1)), cal, ["g"], "as_of", "date", []).select("as_of", F.col("fact_time").alias("session"))
 
 
 def J8(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +89,7 @@ def J18(spark: SparkSession, d: str) -> DataFrame:
 
 def J20(spark: SparkSession, d: str) -> DataFrame:
     """The session nearest to each mid-month day, the earlier of two: nearest of the as-of pair."""
-    mids = months(spark).select(F.date_add("as_of", 14).alias("day")).withColumn("g", F.lit(1))
+    mids = months(spark, d).select(F.date_add("as_of", 14).alias("day")).withColumn("g", F.lit(1))
     cal = panel(spark, d).select("date").distinct().withColumn("g", F.lit(1))
     b = asof.asof_backward(mids, cal, ["g"], "day", "date", []).withColumnRenamed("fact_time", "before")
     a = asof.asof_forward(b, cal, ["g"], "day", "date", []).withColumnRenamed("fact_time", "after")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from chronopanel.functions.keys import open_end, source_key, ticker_key
 from chronopanel.operators import asof, claims, quality, trailing, upsert
 from chronopanel.operators.calendar import business_days
-from chronopanel.plans.fixtures import MONTHS, PANEL, PROBES, months, panel, probes
+from chronopanel.operators.universe import member_months
+from chronopanel.plans.fixtures import MONTHS, PANEL, month_bounds, panel
 from chronopanel.session import table
 
 
@@ -33,7 +34,9 @@ def P5(spark: SparkSession, d: str) -> DataFrame:
 
 
 def P6(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "securities").where("name is not null").groupBy("asset_type").agg(F.count(F.lit(1)).alias("named"), F.countDistinct(F.lower(F.trim("name"))).alias("distinct_names"))
+    """Names that several securities bear, ignoring case and outer blanks."""
+    n = table(spark, d, "securities").where("name is not null").groupBy(F.lower(F.trim("name")).alias("name"))
+    return n.agg(F.count(F.lit(1)).alias("securities"), F.min("security_id").alias("first_id"), F.max("security_id").alias("last_id")).where("securities > 1")
 
 
 def P8(spark: SparkSession, d: str) -> DataFrame:
@@ -65,34 +68,29 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def J9(spark: SparkSession, d: str) -> DataFrame:
-    """Members per month start and index: a claim's months are generated from its bounds, so there is no range join."""
-    c = _claims(spark, d).where("confidence in ('verified', 'unverified') and effective_date is not null")
-    entity = F.coalesce(F.col("security_id").cast("string"), F.concat(F.lit("unresolved:"), "ticker"))
-    first = F.greatest(F.when(F.dayofmonth("effective_date") == 1, F.col("effective_date")).otherwise(F.add_months(F.trunc("effective_date", "month"), 1)), F.lit("2014-02-01").cast("date"))
-    last = F.least(F.coalesce(F.trunc(F.date_sub("removal_date", 1), "month"), F.lit("2023-12-01").cast("date")), F.lit("2023-12-01").cast("date"))
-    on = c.withColumn("a", first).withColumn("z", last).where("a <= z").select("index_name", entity.alias("e"), F.explode(F.expr("sequence(a, z, interval 1 month)")).alias("as_of"))
-    return on.groupBy("index_name", "as_of").agg(F.countDistinct("e").alias("members"), F.countDistinct(F.when(F.col("e").startswith("unresolved:"), F.col("e"))).alias("unresolved"))
-
-
-def E1(spark: SparkSession, d: str) -> DataFrame:
-    """Status of each member as of one day: one claim per entity, then prices up to the day."""
-    day = F.lit("2018-06-01").cast("date")
-    c = _claims(spark, d).where(F.col("confidence").isin("verified", "unverified") & (F.col("effective_date") <= day) & (F.col("removal_date").isNull() | (F.col("removal_date") > day)))
-    key = F.coalesce(F.col("security_id").cast("string"), F.concat(F.lit("unresolved:"), "ticker"))
-    one = upsert.first_per_key(c.withColumn("e", key).select("index_name", "e", "membership_id", "security_id", "ticker"), ["index_name", "e"], ["membership_id"])
-    have = panel(spark, d).groupBy("security_id").agg(F.min("date").alias("first_price"))
-    sec = table(spark, d, "securities").select("security_id", "active_flag", "delisted_date")
-    j = one.join(have, "security_id", "left").join(sec, "security_id", "left")
-    status = F.when(F.col("security_id").isNull(), "unresolved_identifier").when(F.col("first_price") <= day, "usable_price_data").when(~F.col("active_flag") | F.col("delisted_date").isNotNull(), "known_delisted_unavailable_price").otherwise("known_constituent_no_price_data")
-    return j.select("index_name", "ticker", "security_id", status.alias("status"))
+    """Members per month start and index, and how many of them are unresolved."""
+    m = member_months(_claims(spark, d).where("confidence in ('verified', 'unverified')"), *month_bounds(spark, d))
+    return m.groupBy("index_name", "as_of").agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("security_id").isNull()).alias("unresolved"))
 
 
 def J10(spark: SparkSession, d: str) -> DataFrame:
-    """The identifier row in force for each ticker on a day; a closed interval, the latest start wins."""
-    day = F.lit("2016-01-01").cast("date")
-    k = table(spark, d, "known_identifiers_seed").select(ticker_key("ticker").alias("ticker"), "identifier_id", "valid_from", "valid_to")
-    k = k.where(F.col("ticker").isNotNull() & (F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (F.col("valid_to") >= day)))
-    return k.groupBy("ticker").agg(F.max(F.struct("valid_from", "identifier_id")).alias("b")).select("ticker", "b.identifier_id", "b.valid_from")
+    """The identifier row in force for each ticker at each month start; closed intervals, the latest start wins.
+
+    A row's months are generated from its bounds.
+    """
+    a, z = (F.lit(x).cast("date") for x in month_bounds(spark, d))
+    k = table(spark, d, "known_identifiers_seed").select(ticker_key("ticker").alias("ticker"), "identifier_id", "valid_from", "valid_to").where("ticker is not null and valid_from is not null")
+    first = F.greatest(F.when(F.dayofmonth("valid_from") == 1, F.col("valid_from")).otherwise(F.add_months(F.trunc("valid_from", "month"), 1)), a)
+    last = F.least(F.coalesce(F.trunc("valid_to", "month"), z), z)
+    k = k.withColumn("_a", first).withColumn("_z", last).where("_a <= _z").select("ticker", "identifier_id", "valid_from", F.explode(F.expr("sequence(_a, _z, interval 1 month)")).alias("as_of"))
+    return k.groupBy("ticker", "as_of").agg(F.max(F.struct("valid_from", "identifier_id")).alias("b")).select("ticker", "as_of", "b.identifier_id", "b.valid_from")
+
+
+def J11(spark: SparkSession, d: str) -> DataFrame:
+    """Securities found by CIK for identifier rows; the smallest id where several bear it."""
+    cik = F.nullif(F.regexp_replace(F.regexp_replace("cik", "[^0-9]", ""), "^0+", ""), F.lit(""))
+    s = table(spark, d, "securities").select(cik.alias("cik"), "security_id").where("cik is not null").groupBy("cik").agg(F.min("security_id").alias("security_id"))
+    return table(spark, d, "known_identifiers_seed").select("identifier_id", cik.alias("cik")).join(s, "cik").select("identifier_id", "cik", "security_id")
 
 
 def J12(spark: SparkSession, d: str) -> DataFrame:
@@ -120,18 +118,6 @@ def A16(spark: SparkSession, d: str) -> DataFrame:
     return t.select("ticker", "last_end").orderBy("last_end", "ticker").limit(20)
 
 
-def E2(spark: SparkSession, d: str) -> DataFrame:
-    """Availability at each probe: rows, nearness, lookback, completeness and volume over the last 252 rows."""
-    n = 252
-    w = trailing.series()
-    p = trailing.cumulated(panel(spark, d), {"traded": F.when(F.col("volume") > 0, 1)})
-    first = F.first("date").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    p = p.select("security_id", "date", F.least(F.row_number().over(w), F.lit(n)).alias("found"), F.coalesce(F.lag("date", n - 1).over(w), first).alias("earliest"), (trailing.count("traded", n) > 0).alias("traded"))
-    a = asof.asof_backward(probes(spark, d), p, ["security_id"], "as_of", "date", ["found", "earliest", "traded"])
-    a = a.withColumn("share", F.try_divide(F.col("found"), business_days(F.col("earliest"), F.col("as_of"))))
-    return a.select("security_id", "as_of", F.coalesce(F.datediff("as_of", "fact_time") < 5, F.lit(False)).alias("near_date"), F.coalesce(F.col("found") >= n, F.lit(False)).alias("lookback"), F.round(F.coalesce("share", F.lit(0.0)), 4).alias("completeness"), F.coalesce("traded", F.lit(False)).alias("liquidity"))
-
-
 def E3(spark: SparkSession, d: str) -> DataFrame:
     p = panel(spark, d)
     dv = F.coalesce(F.col("close") * F.col("volume"), F.lit(0.0))
@@ -239,12 +225,12 @@ def A17(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "P3_validate_ohlc": P3, "A1_suspicious_share": A1, "P5_missing_dates": P5, "P6_duplicate_names": P6, "P8_digit_names": P8, "P12_field_coverage": P12, "P13_open_violations": P13, "A34_frozen_value": A34,
-    "J9_members_as_of": J9, "E1_universe_status": E1, "J10_identifier_in_force": J10, "J12_conflicts": J12, "W19_reuse_gaps": W19, "A15_coverage": A15, "A16_removed_tickers": A16, "E2_availability": E2, "E3_universe_filters": E3,
+    "J9_members_as_of": J9, "J10_identifier_in_force": J10, "J11_security_by_cik": J11, "J12_conflicts": J12, "W19_reuse_gaps": W19, "A15_coverage": A15, "A16_removed_tickers": A16, "E3_universe_filters": E3,
     "D1_entities": D1, "I2_ticker_links": I2, "I3_claims_ingest": I3, "I4_prices_ingest": I4, "I5_actions_ingest": I5, "I13_dedupe": I13, "O6_seeded_order": O6, "U_set_operations": U_sets, "A19_categories": A19, "A17_quality_report": A17,
 }
 
-_P = f"with {PANEL}, {MONTHS}, {PROBES}"
 _K = "nullif(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
+_C = "nullif(ltrim(regexp_replace({0}, '[^0-9]', '', 'g'), '0'), '')"
 _CL = f"cl as (select membership_id, security_id, {_K.format('raw_ticker')} as ticker, index_name, effective_date, case when removal_date < date '9999-12-31' then removal_date end as removal_date, regexp_replace(lower(source_name), '\\s+', '', 'g') as source, regexp_replace(lower(coalesce(confidence, '')), '[^a-z]', '', 'g') as confidence from membership_records where {_K.format('raw_ticker')} is not null and index_name is not null)"
 _BAD = "high < low or high < open or high < close or low > open or low > close or open <= 0 or close <= 0"
 _BD = "(select count(*) from generate_series({0}, {1}, interval 1 day) t(x) where isodow(x) <= 5)"
@@ -258,19 +244,18 @@ SQL = {
     "P3_validate_ohlc": f"select price_id, 'suspicious' as price_data_quality from prices where ({_BAD}) or volume < 0 or price_data_quality = 'suspicious'",
     "A1_suspicious_share": f"with {PANEL} select security_id, count(*) as bars, round(avg(case when price_data_quality = 'suspicious' then 1.0 else 0.0 end), 6) as suspicious_share from panel group by 1",
     "P5_missing_dates": f"with {PANEL}, s as (select distinct session_date as date from trading_sessions), b as (select p.security_id, p.date from panel p join s using (date)), r as (select security_id, min(date) as a, max(date) as z from b group by 1) select r.security_id, s.date as missing_date from r join s on s.date between r.a and r.z where not exists (select 1 from b where b.security_id = r.security_id and b.date = s.date)",
-    "P6_duplicate_names": "select asset_type, count(*) as named, count(distinct lower(trim(name))) as distinct_names from securities where name is not null group by 1",
+    "P6_duplicate_names": "select lower(trim(name)) as name, count(*) as securities, min(security_id) as first_id, max(security_id) as last_id from securities where name is not null group by 1 having count(*) > 1",
     "P8_digit_names": "select security_id, coalesce(regexp_matches(trim(cik), '^[0-9]+$'), false) as cik_is_digits, coalesce(regexp_matches(trim(name), '^[0-9]+$'), false) as name_is_digits from securities",
     "P12_field_coverage": "select source_id, count(*) as rows, round(avg(case when open > 0 and not isnan(open) then 1.0 else 0.0 end), 6) as open_coverage, round(avg(case when close > 0 and not isnan(close) then 1.0 else 0.0 end), 6) as close_coverage from prices group by 1",
     "P13_open_violations": f"with {PANEL} select security_id, count(open) as with_open, {_n('open > high or open < low')} as violations, {_n('''(open > high or open < low) and price_data_quality = 'suspicious' ''')} as already_flagged from panel group by 1",
     "A34_frozen_value": f"with {PANEL}, c as (select security_id, close, count(*) as n from panel group by 1, 2), r as (select *, sum(n) over (partition by security_id) as bars, row_number() over (partition by security_id order by n desc, close) as k from c) select security_id, close as mode_close, n as times, (n >= 5 and n >= 0.3 * bars) as frozen from r where k = 1",
     "J9_members_as_of": f"with {MONTHS}, {_CL} select index_name, as_of, count(distinct coalesce(security_id::varchar, 'unresolved:' || ticker)) as members, count(distinct case when security_id is null then 'unresolved:' || ticker end) as unresolved from months join cl on effective_date <= as_of and (removal_date is null or removal_date > as_of) and confidence in ('verified', 'unverified') group by 1, 2",
-    "E1_universe_status": f"with {PANEL}, {_CL}, one as (select * from cl where confidence in ('verified', 'unverified') and effective_date <= date '2018-06-01' and (removal_date is null or removal_date > date '2018-06-01') qualify row_number() over (partition by index_name, coalesce(security_id::varchar, 'unresolved:' || ticker) order by membership_id) = 1), f as (select security_id, min(date) as first_price from panel group by 1) select o.index_name, o.ticker, o.security_id, case when o.security_id is null then 'unresolved_identifier' when f.first_price <= date '2018-06-01' then 'usable_price_data' when not s.active_flag or s.delisted_date is not null then 'known_delisted_unavailable_price' else 'known_constituent_no_price_data' end as status from one o left join f on f.security_id = o.security_id left join securities s on s.security_id = o.security_id",
-    "J10_identifier_in_force": f"select {_K.format('ticker')} as ticker, identifier_id, valid_from from known_identifiers_seed where {_K.format('ticker')} is not null and valid_from <= date '2016-01-01' and (valid_to is null or valid_to >= date '2016-01-01') qualify row_number() over (partition by {_K.format('ticker')} order by valid_from desc, identifier_id desc) = 1",
+    "J10_identifier_in_force": f"with {MONTHS} select {_K.format('ticker')} as ticker, as_of, identifier_id, valid_from from months join known_identifiers_seed on valid_from <= as_of and (valid_to is null or valid_to >= as_of) where {_K.format('ticker')} is not null qualify row_number() over (partition by {_K.format('ticker')}, as_of order by valid_from desc, identifier_id desc) = 1",
+    "J11_security_by_cik": f"with s as (select {_C.format('cik')} as cik, min(security_id) as security_id from securities where {_C.format('cik')} is not null group by 1) select identifier_id, s.cik, s.security_id from known_identifiers_seed k join s on s.cik = {_C.format('k.cik')}",
     "J12_conflicts": f"with {_CL}, x as (select *, coalesce(removal_date, date '9999-12-31') as e from cl where confidence <> 'conflicting' and effective_date is not null) select a.membership_id from x a where exists (select 1 from x b where a.ticker = b.ticker and a.index_name = b.index_name and a.source <> b.source and a.effective_date <= b.e and b.effective_date <= a.e and (a.effective_date <> b.effective_date or a.e <> b.e))",
     "W19_reuse_gaps": f"with {_CL}, s as (select distinct ticker, effective_date as a, removal_date as e from cl where effective_date is not null and (removal_date is null or removal_date > effective_date)), g as (select *, lead(a) over (partition by ticker order by a, e nulls first) as n from s) select ticker, a as period_1_start, e as period_1_end, n as period_2_start, (n - e)::bigint as gap_days from g where n - e >= 365 qualify row_number() over (partition by ticker order by a, e) = 1",
     "A15_coverage": f"with {_CL}, t as (select index_name, ticker, bool_or(removal_date is null) as active from cl where effective_date <= date '2019-12-31' and (removal_date is null or removal_date >= date '2016-01-01') group by 1, 2) select index_name, count(*) as tickers, {_n('active')} as still_active, round(avg(active::int), 4) as coverage from t group by 1",
     "A16_removed_tickers": f"with {_CL} select ticker, max(removal_date) as last_end from cl group by 1 having not bool_or(removal_date is null) order by last_end, ticker limit 20",
-    "E2_availability": f"{_P}, w as (select *, count(*) over f as found, first_value(date) over f as earliest, bool_or(volume > 0) over f as traded from panel window f as (partition by security_id order by date rows 251 preceding)), a as (select p.security_id, p.as_of, b.date, b.found, b.earliest, b.traded from probes p asof left join w b on p.security_id = b.security_id and p.as_of >= b.date), c as (select *, {_BD.format('earliest', 'as_of')} as bd from a) select security_id, as_of, coalesce(as_of - date < 5, false) as near_date, coalesce(found >= 252, false) as lookback, round(coalesce(case when bd > 0 then found / bd end, 0.0), 4) as completeness, coalesce(traded, false) as liquidity from c",
     "E3_universe_filters": f"with {PANEL}, s as (select security_id, arg_max(close, date) as p, avg(coalesce(close * volume, 0)) as v, count(*) as days from panel group by 1) select security_id, round(p, 2) as latest_price, round(v, 0) as avg_dollar_volume, days, (p >= 5 and v >= 1e6 and days >= 252) as passed from s",
     "D1_entities": f"with k as (select identifier_id, nullif(ltrim(regexp_replace(cik, '[^0-9]', '', 'g'), '0'), '') as cik, {_K.format('ticker')} as ticker from known_identifiers_seed) select coalesce('cik:' || cik, 'ticker:' || ticker, 'row:' || identifier_id) as entity, min(identifier_id) as first_id, count(*) as rows, count(distinct ticker) as tickers from k group by 1",
     "I2_ticker_links": f"with n as (select distinct {_K.format('ticker')} as ticker, snapshot_date as valid_from from ticker_snapshots where {_K.format('ticker')} is not null) select year(valid_from)::bigint as year, count(*) as inserted, count(distinct ticker) as tickers from n where not exists (select 1 from ticker_history h where {_K.format('h.ticker')} = n.ticker and h.valid_from = n.valid_from) group by 1",

@@ -136,7 +136,7 @@ def proxy_volatility_at(spark: SparkSession, d: str, sessions: int = 63) -> Data
     p = panel(spark, d)
     cal = asof.sessions(p, "date").select("date", "prev_session")
     days = sorted(r["date"] for r in cal.select("date").collect())  # the calendar
-    windows = [(m["as_of"], x) for m in months(spark).collect() for i in [bisect_right(days, m["as_of"])] for x in days[max(0, i - sessions) : i]]
+    windows = [(m["as_of"], x) for m in months(spark, d).collect() for i in [bisect_right(days, m["as_of"])] for x in days[max(0, i - sessions) : i]]
     windows = spark.createDataFrame(windows, "as_of date, date date")
     last = p.groupBy("security_id").agg(F.max("date").alias("last"))
     prev = p.select("security_id", F.col("date").alias("prev_session"), F.col("close").alias("before"))

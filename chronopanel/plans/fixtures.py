@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from chronopanel.functions.keys import is_real
 from chronopanel.session import table
 
-#: Month starts at which point-in-time queries look.
-FIRST_MONTH, LAST_MONTH = "2014-02-01", "2023-12-01"
-
 #: One bar per security and date: lowest feed, last ingested; bars without a close are none.
 PANEL = """panel as (
   select security_id, date, open, high, low, close, volume, price_data_quality from (
@@ -18,7 +15,8 @@ PANEL = """panel as (
     from prices where close is not null and not isnan(close) and security_id is not null and date is not null)
   where _rn = 1)"""
 
-MONTHS = f"months as (select unnest(generate_series(date '{FIRST_MONTH}', date '{LAST_MONTH}', interval 1 month))::date as as_of)"
+#: Month starts at which point-in-time queries look: those after the first session, up to the last.
+MONTHS = "months as (select unnest(generate_series(date_trunc('month', a) + interval 1 month, z, interval 1 month))::date as as_of from (select min(session_date) as a, max(session_date) as z from trading_sessions))"
 
 #: Month starts from a security's first month on.
 PROBES = "probes as (select security_id, as_of from (select security_id, min(date) as f, max(date) as l from panel group by 1), months where as_of >= f and as_of <= l + 40)"
@@ -33,8 +31,17 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
     return bars.groupBy("security_id", "date").agg(best).select("security_id", "date", *[f"b.{c}" for c in keep])
 
 
-def months(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.explode(F.expr(f"sequence(date '{FIRST_MONTH}', date '{LAST_MONTH}', interval 1 month)")).alias("as_of"))
+def month_bounds(spark: SparkSession, d: str) -> tuple[str, str]:
+    """First and last month start of the calendar: one row, read where a plan needs it as a constant."""
+    a = F.add_months(F.trunc(F.min("session_date"), "month"), 1)
+    r = table(spark, d, "trading_sessions").agg(a.cast("string").alias("a"), F.trunc(F.max("session_date"), "month").cast("string").alias("z")).first()
+    return (r["a"], r["z"]) if r["a"] else ("9999-12-31", "0001-01-01")
+
+
+def months(spark: SparkSession, d: str) -> DataFrame:
+    a, z = month_bounds(spark, d)
+    one = spark.range(1).where(F.lit(a) <= F.lit(z))
+    return one.select(F.explode(F.expr(f"sequence(date '{a}', greatest(date '{a}', date '{z}'), interval 1 month)")).alias("as_of"))
 
 
 def probes(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +49,8 @@ def probes(spark: SparkSession, d: str) -> DataFrame:
 
     The months are generated from each security's span, so there is no join.
     """
+    a, z = month_bounds(spark, d)
     span = panel(spark, d).groupBy("security_id").agg(F.min("date").alias("f"), F.max("date").alias("l"))
-    first = F.greatest(F.when(F.dayofmonth("f") == 1, F.col("f")).otherwise(F.add_months(F.trunc("f", "month"), 1)), F.lit(FIRST_MONTH).cast("date"))
-    last = F.least(F.trunc(F.date_add("l", 40), "month"), F.lit(LAST_MONTH).cast("date"))
+    first = F.greatest(F.when(F.dayofmonth("f") == 1, F.col("f")).otherwise(F.add_months(F.trunc("f", "month"), 1)), F.lit(a).cast("date"))
+    last = F.least(F.trunc(F.date_add("l", 40), "month"), F.lit(z).cast("date"))
     return span.where(first <= last).select("security_id", F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("as_of"))

@@ -31,7 +31,7 @@ def training_panel(spark: SparkSession, d: str, full: bool = False) -> DataFrame
     """Complete rows (of X, or of all families) with label, class and part of the split; cut once, as every fit reads it many times."""
     f = family_features(spark, d).dropna(subset=list(ALL)) if full else features_at(spark, d).select("security_id", "as_of", "history_length", "return_12m", *X).dropna(subset=list(X))
     lab = labels(spark, d).select("security_id", "as_of", "y")
-    parts = splits.primary_split(months(spark), "as_of", 0.6, 0.15, 0.25, 3)
+    parts = splits.primary_split(months(spark, d), "as_of", 0.6, 0.15, 0.25, 3)
     return checkpoint(f.join(lab, ["security_id", "as_of"]).join(F.broadcast(parts), "as_of").withColumn("z", (F.col("y") > 0).cast("double")))
 
 

@@ -11,7 +11,7 @@ from chronopanel.operators.adjust import split_kind
 from chronopanel.operators.claims import reuse_gaps
 from chronopanel.operators.crosssection import mid_rank
 from chronopanel.operators.quality import bad_ohlc
-from chronopanel.plans.claims_queries import E2, SQL as CLAIMS_SQL, _claims
+from chronopanel.plans.claims_queries import SQL as CLAIMS_SQL, _claims
 from chronopanel.plans.feature_queries import _F1, features_at
 from chronopanel.plans.fixtures import MONTHS, PANEL, PROBES, months, panel, probes
 from chronopanel.session import table
@@ -48,7 +48,7 @@ def A33(spark: SparkSession, d: str) -> DataFrame:
     """Share of probes whose next session lacks an open."""
     p = panel(spark, d)
     cal = p.select("date").distinct().withColumn("g", F.lit(1))
-    at = asof.asof_forward(months(spark).withColumn("g", F.lit(1)), cal, ["g"], "as_of", "date", []).select("as_of", F.col("fact_time").alias("date")).where("date is not null")
+    at = asof.asof_forward(months(spark, d).withColumn("g", F.lit(1)), cal, ["g"], "as_of", "date", []).select("as_of", F.col("fact_time").alias("date")).where("date is not null")
     j = probes(spark, d).join(F.broadcast(at), "as_of").join(p.select("security_id", "date", "open"), ["security_id", "date"], "left")
     return j.groupBy("as_of").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("open").isNull()).alias("without_open"), F.round(F.avg(F.col("open").isNull().cast("double")), 6).alias("share"))
 
@@ -132,13 +132,6 @@ def A18(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(big, F.col("value"))), 6).alias("mean_large"), F.round(F.avg(F.when(~big, F.col("value"))), 6).alias("mean_small"), (F.count(F.lit(1)) * 10).alias("projected"))
 
 
-def E4(spark: SparkSession, d: str) -> DataFrame:
-    """First failing dimension of each probe, counted per month: one CASE chain on joined columns."""
-    a = E2(spark, d)
-    reason = F.when(~F.col("near_date"), "stale").when(F.col("completeness") < 0.8, "incomplete").when(~F.col("lookback"), "short").when(~F.col("liquidity"), "no_volume").otherwise("usable")
-    return a.groupBy("as_of", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def M1(spark: SparkSession, d: str) -> DataFrame:
     """The cross-sectional and regime columns of the feature matrix."""
     by = Window.partitionBy("as_of")
@@ -163,7 +156,7 @@ def A27(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "P7_date_guard": P7, "P14_violations_known": P14, "J14_cross_reference": J14, "A33_open_coverage": A33, "W16_overnight_panel": W16, "W18_running_peak": W18, "O5_flagged_sample": O5, "O7_ordered_tickers": O7, "I1_new_securities": I1,
-    "I7_rename_fallback": I7, "I11_split_routing": I11, "S3_schema_evolution": S3, "S24_source_dimension": S24, "D2_review_flags": D2, "A18_conditional_means": A18, "E4_first_failure": E4, "M1_feature_matrix": M1, "A27_monotone": A27,
+    "I7_rename_fallback": I7, "I11_split_routing": I11, "S3_schema_evolution": S3, "S24_source_dimension": S24, "D2_review_flags": D2, "A18_conditional_means": A18, "M1_feature_matrix": M1, "A27_monotone": A27,
 }
 
 _K = "nullif(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
@@ -195,7 +188,6 @@ SQL = {
     "S24_source_dimension": "with t as (select regexp_replace(lower(source_name), '\\s+', '', 'g') as name from membership_records union select regexp_replace(lower(source_name), '\\s+', '', 'g') from data_sources) select name, row_number() over (order by name) as id from t where name is not null",
     "D2_review_flags": f"with {_CL}, s as (select distinct ticker, effective_date as a, removal_date as e from cl where effective_date is not null and (removal_date is null or removal_date > effective_date)), g as (select *, lead(a) over (partition by ticker order by a, e nulls first) as n from s), one as ({_gap(365)}), two as ({_gap(730)}) select * from one where not exists (select 1 from two where two.ticker = one.ticker and two.period_1_start = one.period_1_start and two.period_1_end = one.period_1_end and two.period_2_start = one.period_2_start)",
     "A18_conditional_means": "select event_type, count(*) as n, round(avg(case when value > 10 then value end), 6) as mean_large, round(avg(case when not value > 10 then value end), 6) as mean_small, count(*) * 10 as projected from events group by 1",
-    "E4_first_failure": f"with a as ({CLAIMS_SQL['E2_availability']}) select as_of, case when not near_date then 'stale' when completeness < 0.8 then 'incomplete' when not lookback then 'short' when not liquidity then 'no_volume' else 'usable' end as reason, count(*) as n from a group by 1, 2",
     "M1_feature_matrix": f"{_P}, {_F1} select sid as security_id, as_of, round({_MR.format('return_3m')}, 6) as momentum_percentile_rank, round({_MR.format('realised_volatility_63d')}, 6) as volatility_percentile_rank, round(avg(return_3m) over (partition by as_of), 6) as proxy_index_trend, round(avg(case when distance_from_200d_ma > 0 then 1.0 when distance_from_200d_ma <= 0 then 0.0 end) over (partition by as_of), 6) as breadth_proxy from fat",
     "A27_monotone": "with p as (select source_id, security_id, sum(ratio_or_value) as v, count(*) as n from corporate_actions where ratio_or_value is not null group by 1, 2), q as (select *, coalesce(v >= lag(v) over (partition by source_id order by n, security_id), true) as ok from p) select source_id, bool_and(ok) as monotone, count(*) as securities from q group by 1",
 }

@@ -123,11 +123,11 @@ def G6(spark: SparkSession, d: str) -> DataFrame:
 
 
 def M9(spark: SparkSession, d: str) -> DataFrame:
-    return splits.primary_split(months(spark), "as_of", 0.6, 0.15, 0.25, 3)
+    return splits.primary_split(months(spark, d), "as_of", 0.6, 0.15, 0.25, 3)
 
 
 def A32(spark: SparkSession, d: str) -> DataFrame:
-    parts = splits.primary_split(months(spark), "as_of", 0.6, 0.15, 0.25, 3)
+    parts = splits.primary_split(months(spark, d), "as_of", 0.6, 0.15, 0.25, 3)
     per = labels(spark, d).groupBy("as_of").agg(F.count(F.lit(1)).alias("pairs"))
     j = parts.join(per, "as_of", "left")
     return j.groupBy("part").agg(F.count(F.lit(1)).alias("months"), F.sum(F.coalesce("pairs", F.lit(0))).alias("pairs"), F.floor(F.count(F.lit(1)) / 3).alias("blocks"))
