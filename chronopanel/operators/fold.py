@@ -32,7 +32,7 @@ def net_return(gross: Column, costs: Column, value: Column) -> Column:
     return F.when(value == 0, gross).otherwise(gross - costs / value)
 
 
-def simulate(plan: DataFrame, cash: float = 100_000.0, costs: Costs = Costs()) -> DataFrame:
+def simulate(plan: DataFrame, cash: float = 100_000.0, costs: Costs = Costs(), tolerance: float = 1e-6) -> DataFrame:
     """Snapshots of each run's portfolio.
 
     plan: (run_id, date, security_id, weight, price, mark), a row per security
@@ -40,7 +40,11 @@ def simulate(plan: DataFrame, cash: float = 100_000.0, costs: Costs = Costs()) -
     price is the exact price of the day, null if it has none, mark the last
     known one. A target without a positive exact price keeps its position; a
     held security without a target is sold at its mark; targets are sized on the
-    value before trading and costs come out of cash.
+    value before trading and costs come out of cash. `skipped` counts the
+    targets and held names of a date that could not be traded.
+
+    Two invariants end the job where they fail: a run's dates rise strictly, and
+    trading changes the value by no more than its costs (to `tolerance`, relative).
 
     A run is sequential by nature and is one group; runs are parallel. A run's
     plan has as many rows as its universe times its dates, a parameter of the
@@ -49,8 +53,11 @@ def simulate(plan: DataFrame, cash: float = 100_000.0, costs: Costs = Costs()) -
     c = asdict(costs) | {"rate": costs.rate}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        money, held, marks, out = cash, {}, {}, []
+        money, held, marks, out, last = cash, {}, {}, [], None
         for day, g in pdf.sort_values(["date", "security_id"]).groupby("date", sort=True):
+            if last is not None and not day > last:
+                raise ValueError(f"a portfolio's dates must rise: {day} after {last}")
+            last = day
             for sid, mark in zip(g["security_id"], g["mark"], strict=True):
                 if pd.notna(mark):
                     marks[sid] = mark
@@ -83,10 +90,12 @@ def simulate(plan: DataFrame, cash: float = 100_000.0, costs: Costs = Costs()) -
                     else:
                         held[sid] = left
             after = money + sum(n * marks.get(s, 0.0) for s, n in held.items())
-            out.append((g["run_id"].iloc[0], day, money, after, turnover, turnover / value if value else 0.0, paid, trades, len(held)))
-        return pd.DataFrame(out, columns=["run_id", "date", "cash", "value", "turnover", "turnover_pct", "costs", "trades", "holdings"])
+            if abs(after - (value - paid)) > tolerance * max(1.0, abs(value)):
+                raise ValueError(f"value {after} on {day} is not {value} less costs {paid}")
+            out.append((g["run_id"].iloc[0], day, money, after, turnover, turnover / value if value else 0.0, paid, trades, len(held), len(skip)))
+        return pd.DataFrame(out, columns=["run_id", "date", "cash", "value", "turnover", "turnover_pct", "costs", "trades", "holdings", "skipped"])
 
-    return plan.groupBy("run_id").applyInPandas(run, "run_id string, date date, cash double, value double, turnover double, turnover_pct double, costs double, trades int, holdings int")
+    return plan.groupBy("run_id").applyInPandas(run, "run_id string, date date, cash double, value double, turnover double, turnover_pct double, costs double, trades int, holdings int, skipped int")
 
 
 def performance(snapshots: DataFrame, per_year: int = 12) -> DataFrame:

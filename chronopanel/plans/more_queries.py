@@ -147,16 +147,9 @@ def M1(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def A27(spark: SparkSession, d: str) -> DataFrame:
-    """Is the running total of traded value in step with its order, per feed."""
-    p = table(spark, d, "corporate_actions").where("ratio_or_value is not null").groupBy("source_id", "security_id").agg(F.sum("ratio_or_value").alias("v"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("source_id").orderBy("n", "security_id")
-    return p.withColumn("ok", F.coalesce(F.col("v") >= F.lag("v").over(w), F.lit(True))).groupBy("source_id").agg(F.bool_and("ok").alias("monotone"), F.count(F.lit(1)).alias("securities"))
-
-
 QUERIES = {
     "P7_date_guard": P7, "P14_violations_known": P14, "J14_cross_reference": J14, "A33_open_coverage": A33, "W16_overnight_panel": W16, "W18_running_peak": W18, "O5_flagged_sample": O5, "O7_ordered_tickers": O7, "I1_new_securities": I1,
-    "I7_rename_fallback": I7, "I11_split_routing": I11, "S3_schema_evolution": S3, "S24_source_dimension": S24, "D2_review_flags": D2, "A18_conditional_means": A18, "M1_feature_matrix": M1, "A27_monotone": A27,
+    "I7_rename_fallback": I7, "I11_split_routing": I11, "S3_schema_evolution": S3, "S24_source_dimension": S24, "D2_review_flags": D2, "A18_conditional_means": A18, "M1_feature_matrix": M1,
 }
 
 _K = "nullif(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
@@ -189,5 +182,4 @@ SQL = {
     "D2_review_flags": f"with {_CL}, s as (select distinct ticker, effective_date as a, removal_date as e from cl where effective_date is not null and (removal_date is null or removal_date > effective_date)), g as (select *, lead(a) over (partition by ticker order by a, e nulls first) as n from s), one as ({_gap(365)}), two as ({_gap(730)}) select * from one where not exists (select 1 from two where two.ticker = one.ticker and two.period_1_start = one.period_1_start and two.period_1_end = one.period_1_end and two.period_2_start = one.period_2_start)",
     "A18_conditional_means": "select event_type, count(*) as n, round(avg(case when value > 10 then value end), 6) as mean_large, round(avg(case when not value > 10 then value end), 6) as mean_small, count(*) * 10 as projected from events group by 1",
     "M1_feature_matrix": f"{_P}, {_F1} select sid as security_id, as_of, round({_MR.format('return_3m')}, 6) as momentum_percentile_rank, round({_MR.format('realised_volatility_63d')}, 6) as volatility_percentile_rank, round(avg(return_3m) over (partition by as_of), 6) as proxy_index_trend, round(avg(case when distance_from_200d_ma > 0 then 1.0 when distance_from_200d_ma <= 0 then 0.0 end) over (partition by as_of), 6) as breadth_proxy from fat",
-    "A27_monotone": "with p as (select source_id, security_id, sum(ratio_or_value) as v, count(*) as n from corporate_actions where ratio_or_value is not null group by 1, 2), q as (select *, coalesce(v >= lag(v) over (partition by source_id order by n, security_id), true) as ok from p) select source_id, bool_and(ok) as monotone, count(*) as securities from q group by 1",
 }
