@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,23 +69,15 @@ def mean_interval(spark: SparkSession, values: list[float], block: int, draws: i
     return {"mean": float(np.mean(values)), "low": low, "high": high, "excludes_zero": not low <= 0 <= high, "block": block, "n": len(values)}
 
 
-def sequential_means(values: list[float], block: int, draws: int, seed: int) -> list[float]:
-    """The same with one generator throughout, for those who need a fixed sequence of draws."""
-    rng, n = random.Random(seed), len(values)
-    out = []
-    for _ in range(draws):
-        picked: list[float] = []
-        while len(picked) < n:
-            at = rng.randrange(n)
-            picked += [values[(at + k) % n] for k in range(block)]
-        out.append(sum(picked[:n]) / n)
-    return out
+def verdict(night: dict | None, difference: dict | None, annual: int = 252, least_pct: float = 1.0) -> str:
+    """What two intervals say of an effect.
 
-
-def verdict(night: dict | None, difference: dict | None) -> str:
-    """'inconclusive' without intervals; a candidate only if both intervals lie above zero."""
+    'inconclusive' where there is no interval; 'failure' where either holds
+    zero; 'inconclusive' where both do not, but the mean, annualised in percent,
+    is below `least_pct` in size; else 'genuine_effect_candidate'.
+    """
     if night is None or difference is None:
         return "inconclusive"
-    if night["excludes_zero"] and night["mean"] > 0:
-        return "genuine_effect_candidate" if difference["excludes_zero"] and difference["mean"] > 0 else "inconclusive"
-    return "failure"
+    if not (night["excludes_zero"] and difference["excludes_zero"]):
+        return "failure"
+    return "inconclusive" if abs(night["mean"] * annual * 100) < least_pct else "genuine_effect_candidate"

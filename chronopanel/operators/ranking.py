@@ -46,3 +46,20 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     n = counts.groupBy(*by).agg(F.sum("_equal").alias("_n"))
     ranks = upto.join(n, list(by)).select(*by, value, (F.col("_upto") - F.col("_equal")).alias("_below"), "_equal", "_n")
     return df.join(ranks, [*by, value], "left").select(*df.columns, "_below", "_equal", "_n")
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(by, share, quantile): exact quantiles of the non-null values with linear interpolation.
+
+    For few groups of any size: the groups and shares are broadcast to the
+    numbered distinct values, and two of them decide each quantile.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_equal"))
+    upto = number_rows(counts, by, [value], "_upto", F.col("_equal"))
+    n = counts.groupBy(*by).agg(F.sum("_equal").alias("_n"))
+    want = n.withColumn("share", F.explode(F.array(*[F.lit(float(x)) for x in shares]))).withColumn("_h", (F.col("_n") - 1) * F.col("share"))
+    j = upto.join(F.broadcast(want), list(by))
+    holds = lambda at: (F.col("_upto") - F.col("_equal") <= at) & (at < F.col("_upto"))
+    low, high = F.floor("_h"), F.ceil("_h")
+    ends = j.where(holds(low) | holds(high)).groupBy(*by, "share", "_h").agg(F.max(F.when(holds(low), F.col(value))).alias("_a"), F.max(F.when(holds(high), F.col(value))).alias("_z"))
+    return ends.select(*by, "share", (F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_h") - F.floor("_h"))).alias("quantile"))

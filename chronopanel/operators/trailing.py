@@ -13,25 +13,41 @@ def series() -> WindowSpec:
     return Window.partitionBy("security_id").orderBy("date")
 
 
+#: Rows after which running sums start anew; no window may be longer.
+CHUNK = 256
+
+
 def cumulated(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
-    """df with, for each name, the running count, sum and sum of squares of a value's non-null rows.
+    """df with, for each name, running counts, sums and sums of squares of a value's finite rows.
 
     Every trailing mean, deviation or count is then a difference of two rows.
     A frame of its own per window would be summed anew at every row, n rows
-    each; this is one pass whatever the windows' lengths.
+    each; this is one pass whatever the windows' lengths. NaN and infinite
+    values count as null. Sums start anew every CHUNK rows, so that an extreme
+    value costs later windows no digits once its chunk is over.
     """
-    upto = series().rowsBetween(Window.unboundedPreceding, 0)
-    out = df.select("*", *[v.cast("double").alias(f"_v_{k}") for k, v in values.items()])
+    chunk = Window.partitionBy("security_id", "_chunk")
+    upto = chunk.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    whole = chunk.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    finite = lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    out = df.select("*", *[finite(v.cast("double")).alias(f"_v_{k}") for k, v in values.items()], F.floor((F.row_number().over(series()) - 1) / CHUNK).alias("_chunk"))
     cols = []
     for k in values:
         v = F.col(f"_v_{k}")
-        cols += [F.count(v).over(upto).alias(f"_n_{k}"), F.sum(F.coalesce(v, F.lit(0.0))).over(upto).alias(f"_s_{k}"), F.sum(F.coalesce(v * v, F.lit(0.0))).over(upto).alias(f"_q_{k}")]
+        for kind, x in (("n", F.when(v.isNotNull(), 1).otherwise(0)), ("s", F.coalesce(v, F.lit(0.0))), ("q", F.coalesce(v * v, F.lit(0.0)))):
+            cols += [F.sum(x).over(upto).alias(f"_{kind}_{k}"), F.sum(x).over(whole).alias(f"_{kind}t_{k}")]
     return out.select("*", *cols)
 
 
 def _last(kind: str, name: str, n: int) -> Column:
-    c = f"_{kind}_{name}"
-    return F.col(c) - F.coalesce(F.lag(c, n).over(series()), F.lit(0))
+    """The sum over the last n rows: within a chunk a difference, else what this chunk and the end of the one before hold."""
+    if n > CHUNK:
+        raise ValueError(f"a window of {n} rows is longer than {CHUNK}")
+    c, w = f"_{kind}_{name}", series()
+    before = F.coalesce(F.lag(f"_{kind}t_{name}", n).over(w), F.lit(0))
+    crossed = F.lag("_chunk", n).over(w) < F.col("_chunk")
+    # rows of the first chunk less than n rows in have nothing to take off; later ones the rest of the chunk before
+    return F.col(c) - F.coalesce(F.lag(c, n).over(w), F.lit(0)) + F.when(crossed, before).otherwise(F.lit(0))
 
 
 def count(name: str, n: int) -> Column:

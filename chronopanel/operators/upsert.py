@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronopanel.operators.ranking import number_rows
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key by a total order: an aggregate, combined before the shuffle."""
@@ -40,7 +42,15 @@ def overwrite_latest(target: DataFrame, rows: DataFrame, keys: Sequence[str], ve
 def with_surrogate(df: DataFrame, name: str, order: Sequence[Column | str], start: int = 1) -> DataFrame:
     """df with dense numbers in order of `order`, which must be total.
 
-    For dimensions: the numbering is one global sort. Facts should take
-    xxhash64 of their key.
+    The rows are range-partitioned and numbered where they lie, so none of the
+    tasks sorts all of them.
     """
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) + (start - 1))
+    out = number_rows(df, [], order, name)
+    return out.withColumn(name, F.col(name) + (start - 1))
+
+
+def update_metadata(target: DataFrame, updates: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """target with the updates' values put where its own are null; keys without an update stay."""
+    u = updates.select(key, *[F.col(c).alias(f"_u_{c}") for c in columns])
+    rest = [F.coalesce(c, f"_u_{c}").alias(c) if c in columns else F.col(c) for c in target.columns]
+    return target.join(u, key, "left").select(*rest)

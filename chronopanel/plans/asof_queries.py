@@ -62,17 +62,13 @@ def J8(spark: SparkSession, d: str) -> DataFrame:
 
 
 def J13(spark: SparkSession, d: str) -> DataFrame:
-    """Corporate actions within ten days of a suspicious bar: hash join on the security, bounds as condition."""
+    """Corporate actions within ten days of a suspicious bar: an equi-join on the security and a month of 32 days, two of which a bar may touch."""
     bad = panel(spark, d).where("price_data_quality = 'suspicious'").select("security_id", "date")
-    acts = table(spark, d, "corporate_actions").select("security_id", "action_type", "ex_date").distinct()
+    span = lambda c: F.floor(F.unix_date(c) / 32)
+    bad = bad.withColumn("m", F.explode(F.sequence(span(F.date_sub("date", 10)), span(F.date_add("date", 10)))))
+    acts = table(spark, d, "corporate_actions").select("security_id", "action_type", "ex_date").where("ex_date is not null").distinct().withColumn("m", span(F.col("ex_date")))
     near = F.col("ex_date").between(F.date_sub("date", 10), F.date_add("date", 10))
-    return bad.join(acts, "security_id").where(near).select("security_id", "date", "action_type", "ex_date")
-
-
-def J16(spark: SparkSession, d: str) -> DataFrame:
-    """For each session the month start in force: a truncation, so no join."""
-    m = asof.sessions(panel(spark, d), "date").select("date", F.trunc("date", "month").alias("month_start"))
-    return m.where(F.col("month_start").between("2014-02-01", "2023-12-01"))
+    return bad.join(acts, ["security_id", "m"]).where(near).select("security_id", "date", "action_type", "ex_date")
 
 
 def J17(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +118,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "J1_asof_backward": J1, "J1_asof_chunked": J1_chunked, "J2_nth_prior_session": J2, "J3_asof_strict": J3, "J4_asof_forward_tolerance": J4, "J5_next_session": J5, "J6_previous_session": J6,
-    "J7_session_on_or_after": J7, "J8_next_bar_open": J8, "J13_nearby_actions": J13, "J16_month_in_force": J16, "J17_session_pairs": J17, "J18_no_prices": J18, "J20_nearest_session": J20, "J21_latest_row": J21,
+    "J7_session_on_or_after": J7, "J8_next_bar_open": J8, "J13_nearby_actions": J13, "J17_session_pairs": J17, "J18_no_prices": J18, "J20_nearest_session": J20, "J21_latest_row": J21,
     "F2_business_days": F2, "F3_month_starts": F3, "W9_momentum_rank": flagship,
 }
 
@@ -145,7 +141,6 @@ SQL = {
     "J7_session_on_or_after": f"with {PANEL}, {MONTHS}, {_CAL} select as_of, (select min(date) from cal where date >= as_of) as session from months",
     "J8_next_bar_open": _P + " select p.security_id, p.as_of, b.date as next_date, b.open from probes p asof left join panel b on p.security_id = b.security_id and p.as_of < b.date",
     "J13_nearby_actions": f"with {PANEL}, a as (select distinct security_id, action_type, ex_date from corporate_actions) select p.security_id, p.date, a.action_type, a.ex_date from panel p join a on a.security_id = p.security_id and a.ex_date between p.date - 10 and p.date + 10 where price_data_quality = 'suspicious'",
-    "J16_month_in_force": f"with {PANEL}, {_CAL}, {MONTHS} select date, max(as_of) as month_start from cal join months on as_of <= date where date < date '2024-01-01' group by 1",
     "J17_session_pairs": f"with {PANEL}, {_CAL}, s as (select date, lag(date) over (order by date) as prev_session from cal) select a.security_id, a.date, a.open, a.close, b.close as prev_close from panel a join s using (date) join panel b on b.security_id = a.security_id and b.date = s.prev_session",
     "J18_no_prices": f"with {PANEL} select security_id from securities s where not exists (select 1 from panel p where p.security_id = s.security_id)",
     "J20_nearest_session": f"with {PANEL}, {_CAL}, {MONTHS}, m as (select as_of + 14 as day from months) select day, (select date from cal order by abs(date - day), date limit 1) as nearest from m",

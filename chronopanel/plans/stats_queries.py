@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from chronopanel.operators import bootstrap, splits
 from chronopanel.operators.crosssection import average_rank, rank_correlation, safe_corr
 from chronopanel.plans.feature_queries import _F1, _LAB, _ON, features_at, labels, overnight_series, price_features
+from chronopanel.operators.ranking import number_rows, quantiles
 from chronopanel.plans.fixtures import MONTHS, PANEL, PROBES, months, panel
-from chronopanel.session import table
+from chronopanel.session import checkpoint, table
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +52,11 @@ def A12(spark: SparkSession, d: str) -> DataFrame:
 
 
 def A13(spark: SparkSession, d: str) -> DataFrame:
-    f = price_features(panel(spark, d)).where("ret is not null")
-    return f.groupBy(F.year("date").alias("year")).agg(F.round(F.avg("ret"), 6).alias("mean"), F.round(F.median("ret"), 6).alias("median"), F.round(F.coalesce(F.stddev_samp("ret"), F.lit(0.0)), 6).alias("sd"), F.round(F.min("ret"), 6).alias("least"), F.round(F.max("ret"), 6).alias("greatest"))
+    f = price_features(panel(spark, d)).where("ret is not null").select(F.year("date").alias("year"), "ret")
+    f = checkpoint(f)  # read for the moments and for the ranks
+    mid = quantiles(f, ["year"], "ret", [0.5]).select("year", F.round("quantile", 6).alias("median"))
+    m = f.groupBy("year").agg(F.round(F.avg("ret"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("ret"), F.lit(0.0)), 6).alias("sd"), F.round(F.min("ret"), 6).alias("least"), F.round(F.max("ret"), 6).alias("greatest"))
+    return m.join(mid, "year").select("year", "mean", "median", "sd", "least", "greatest")
 
 
 def A14(spark: SparkSession, d: str) -> DataFrame:
@@ -60,13 +64,32 @@ def A14(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 4).alias("mean"), F.count_if(F.col("n") == 0).alias("empty_dates"))
 
 
+#: Random pairs of securities of which the mean correlation is taken, and draws to find them.
+PAIRS, PAIR_DRAWS = 2000, 6000
+
+
 def A30(spark: SparkSession, d: str) -> DataFrame:
-    """Correlation of returns for each security with the next id that shares 60 dates: an equi-join on date and partner."""
+    """Mean correlation of returns over up to PAIRS seeded random pairs with 60 common dates or more.
+
+    The pairs are the feature, a sample as large at any size. Securities are
+    numbered in id order; both of a pair are drawn by hash, the second from the
+    others; only the rows of drawn securities are joined, on date.
+    """
     f = price_features(panel(spark, d)).where("ret is not null").select("security_id", "date", "ret")
-    ids = f.select("security_id").distinct().withColumn("partner", F.lead("security_id").over(Window.orderBy("security_id")))
-    a = f.join(ids, "security_id").where("partner is not null")
-    b = f.select(F.col("security_id").alias("partner"), "date", F.col("ret").alias("ret2"))
-    return a.join(b, ["partner", "date"]).groupBy("security_id", "partner").agg(F.count(F.lit(1)).alias("n"), F.round(safe_corr("ret", "ret2"), 6).alias("corr")).where("n >= 60")
+    f = checkpoint(f)
+    ids = number_rows(f.select("security_id").distinct(), [], ["security_id"], "place")
+    n = ids.agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    h = lambda x: F.conv(F.substring(F.md5(F.concat(F.lit(f"42|{x}|"), "j")), 1, 8), 16, 10).cast("long")
+    draws = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(PAIR_DRAWS))).alias("j"))
+    draws = draws.select("j", (h("a") % F.col("n") + 1).alias("pa"), (h("b") % (F.col("n") - 1) + 1).alias("pb")).withColumn("pb", F.when(F.col("pb") >= F.col("pa"), F.col("pb") + 1).otherwise(F.col("pb")))
+    a = ids.select(F.col("security_id").alias("a"), F.col("place").alias("pa"))
+    b = ids.select(F.col("security_id").alias("b"), F.col("place").alias("pb"))
+    pairs = draws.join(a, "pa").join(b, "pb").select("j", "a", "b")
+    x = f.select(F.col("security_id").alias("a"), "date", F.col("ret").alias("x"))
+    y = f.select(F.col("security_id").alias("b"), "date", F.col("ret").alias("y"))
+    c = x.join(F.broadcast(pairs), "a").join(y, ["b", "date"]).groupBy("j").agg(F.count(F.lit(1)).alias("n"), safe_corr("x", "y").alias("r")).where("n >= 60 and r is not null")
+    best = c.orderBy("j").limit(PAIRS)
+    return best.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("r"), 6).alias("mean_correlation"))
 
 
 def A29(spark: SparkSession, d: str) -> DataFrame:
@@ -191,11 +214,12 @@ SQL = {
     "A12_percentiles": f"with {PANEL}, {_RET}, q as (select security_id, quantile_cont(ret, [0.05, 0.25, 0.5, 0.75, 0.95]) as q from feats where ret is not null group by 1) select security_id, round(q[1], 6) as p05, round(q[2], 6) as p25, round(q[3], 6) as p50, round(q[4], 6) as p75, round(q[5], 6) as p95 from q",
     "A13_distribution": f"with {PANEL}, {_RET} select year(date)::bigint as year, round(avg(ret), 6) as mean, round(median(ret), 6) as median, round(coalesce(stddev_samp(ret), 0), 6) as sd, round(min(ret), 6) as least, round(max(ret), 6) as greatest from feats where ret is not null group by 1",
     "A14_coverage_summary": f"{_P}, {_F1}, p as (select as_of, count(return_3m) as n from fat group by 1) select min(n) as least, max(n) as most, round(avg(n), 4) as mean, count(case when n = 0 then 1 end) as empty_dates from p",
-    "A30_pairwise_correlation": f"with {PANEL}, {_RET}, f as (select security_id, date, ret from feats where ret is not null), i as (select security_id, lead(security_id) over (order by security_id) as partner from (select distinct security_id from f)), j as (select f.security_id, i.partner, f.ret as a, g.ret as b from f join i using (security_id) join f g on g.security_id = i.partner and g.date = f.date) select security_id, partner, count(*) as n, round(case when stddev_pop(a) > 0 and stddev_pop(b) > 0 then corr(a, b) end, 6) as corr from j group by 1, 2 having count(*) >= 60",
+    "A30_pairwise_correlation": f"with {PANEL}, {_RET}, f as (select security_id, date, ret from feats where ret is not null), i as (select security_id, row_number() over (order by security_id) as place, count(*) over () as n from (select distinct security_id from f)), dr as (select j, ('0x' || substr(md5('42|a|' || j), 1, 8))::bigint % n + 1 as pa, ('0x' || substr(md5('42|b|' || j), 1, 8))::bigint % (n - 1) + 1 as pb from (select unnest(range(1, {PAIR_DRAWS + 1})) as j), (select max(n) as n from i) where n > 1), pr as (select j, a.security_id as a, b.security_id as b from dr join i a on a.place = pa join i b on b.place = case when pb >= pa then pb + 1 else pb end), c as (select j, count(*) as n, case when stddev_pop(x.ret) > 0 and stddev_pop(y.ret) > 0 then corr(x.ret, y.ret) end as r from pr join f x on x.security_id = a join f y on y.security_id = b and y.date = x.date group by 1), t as (select r from c where n >= 60 and r is not null order by j limit {PAIRS}) select count(*) as pairs, round(avg(r), 6) as mean_correlation from t",
     "A29_by_year": f"{_S} select year(date)::bigint as year, count(*) as days, round(avg(overnight) * 252 * 100, 4) as annualised_pct from s group by 1",
     "A29_without_extremes": f"{_S}, o as (select overnight, row_number() over (order by round(abs(overnight), 12) desc, date) as place from s), kk as (select unnest([0, 1, 3, 5, 10, 20])::bigint as k) select k, round(avg(overnight), 8) as mean, count(*) as days from o join kk on place > k group by 1",
     "O3_extreme_days": f"{_S} select date, round(overnight, 6) as overnight from s order by abs(round(overnight, 6)) desc, date limit 20",
     "W17_autocorrelation": f"{_S}, i as (select row_number() over (order by date) as i, overnight - avg(overnight) over () as x from s), v as (select sum(x * x) as v from i), l as (select unnest(range(1, 21)) as lag) select lag, round((select sum(a.x * b.x) from i a join i b on b.i = a.i + lag) / v, 6) as rho from l, v",
+    "G2_block_length": f"{_S}, i as (select row_number() over (order by date) as i, overnight - avg(overnight) over () as x, count(*) over () as n from s), v as (select sum(x * x) as v, max(n) as n from i), l as (select unnest(range(1, 21)) as lag), r as (select lag, (select sum(a.x * b.x) from i a join i b on b.i = a.i + lag) / v as rho, n from l, v), f as (select coalesce(min(case when rho is null or abs(rho) < 2 / sqrt(n) then lag end) - 1, 20) as k, max(n) as n from r) select (case when n < 8 then 5 else greatest(5, least(20, 2 * k + 3)) end)::bigint as block_length from f",
     "M9_primary_split": f"with {MONTHS}, {_SPLIT} select as_of, part from pt",
     "A32_sample_sizes": f"{_P}, {_LAB}, {_SPLIT}, c as (select as_of, count(*) as pairs from lab group by 1) select part, count(*) as months, sum(coalesce(pairs, 0))::bigint as pairs, (count(*) // 3)::bigint as blocks from pt left join c using (as_of) group by 1",
     "ST3_retrain_checkpoints": "select i as retrain_at, greatest(0, i - 4) as train_until from (select unnest(range(24, 108, 3)) as i)",

@@ -30,12 +30,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of df with a copy in the folder all executors share.
-
-    The folder is the session's spark.checkpoint.dir. Only where neither that
-    setting nor a checkpoint directory exists (a local test) is one made here.
-    """
+    """Cut the lineage of df with a copy in the folder all executors share."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronopanel-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's spark.checkpoint.dir, or its checkpoint directory.
+
+    Only on a local master, where all is one machine, is one made if neither is
+    set; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    have = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if have:
+        return have
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="chronopanel-")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronopanel.session import shared_folder
+
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events table of a directory as a file stream."""
@@ -26,13 +27,27 @@ def daily_counts(events: DataFrame, late: str | None = None) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and give its result as a table."""
-    name = f"s{uuid.uuid4().hex}"
+    """Run a stream over what is there and give its result as a table in the shared folder.
+
+    Every batch is written by the executors to a folder of its own, so a batch
+    that is run again replaces what it wrote, and nothing passes the driver. In
+    complete mode the last batch is the result; otherwise it is all of them,
+    with the batch's number as `batch`.
+    """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronopanel-")
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out, last = f"{base}/out", []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        last.append(batch)
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not last:
+        return spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0))
+    got = spark.read.option("basePath", out).parquet(f"{out}/batch={max(last)}" if mode == "complete" else out)
+    return got
 
 
 def run_daily_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -57,4 +72,4 @@ def run_ordered_totals(spark: SparkSession, d: str) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
 
     out = event_stream(spark, d).groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", "NoTimeout")
-    return drain(out, "update").groupBy("user_id").agg(F.max_by("total", "n").alias("total"), F.max("n").alias("n")).select("user_id", "n", F.round("total", 4).alias("total"))
+    return drain(out, "update").groupBy("user_id").agg(F.max_by("total", "batch").alias("total"), F.max_by("n", "batch").alias("n")).select("user_id", "n", F.round("total", 4).alias("total"))
