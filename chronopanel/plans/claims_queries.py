@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronopanel.functions.keys import open_end, source_key, ticker_key
 from chronopanel.operators import asof, claims, quality, trailing, upsert
 from chronopanel.operators.calendar import business_days
+from chronopanel.operators.ranking import number_rows
 from chronopanel.operators.universe import member_months
 from chronopanel.plans.fixtures import MONTHS, PANEL, month_bounds, panel
 from chronopanel.session import table
@@ -170,7 +171,7 @@ def I13(spark: SparkSession, d: str) -> DataFrame:
 def O6(spark: SparkSession, d: str) -> DataFrame:
     """A seeded order of all tickers by hash, and the ordered distinct list."""
     t = _claims(spark, d).select("ticker").distinct()
-    return t.select("ticker", F.md5(F.concat(F.lit("7:"), "ticker")).alias("k")).withColumn("place", F.row_number().over(Window.orderBy("k", "ticker"))).select("ticker", "place")
+    return t.select("ticker", F.md5(F.concat(F.lit("7:"), "ticker")).alias("k")).transform(lambda x: number_rows(x, [], ["k", "ticker"], "place")).select("ticker", "place")
 
 
 def U_sets(spark: SparkSession, d: str) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from chronopanel.functions.keys import source_key, ticker_key
 from chronopanel.operators import asof, trailing, upsert
 from chronopanel.operators.adjust import split_kind
-from chronopanel.operators.claims import reuse_gaps
 from chronopanel.operators.crosssection import mid_rank
 from chronopanel.operators.quality import bad_ohlc
+from chronopanel.operators.ranking import number_rows
 from chronopanel.plans.claims_queries import SQL as CLAIMS_SQL, _claims
 from chronopanel.plans.feature_queries import _F1, features_at
 from chronopanel.plans.fixtures import MONTHS, PANEL, PROBES, months, panel, probes
@@ -18,32 +18,12 @@ from chronopanel.session import table
 from chronopanel.sources import readers
 
 
-def guarded(df: DataFrame, date: str, bound: str) -> DataFrame:
-    """df, failing the job at the first row dated after the bound: no look into the future."""
-    ok = F.assert_true(F.col(date).isNull() | (F.col(date) <= F.lit(bound).cast("date")), F.lit(f"a row is dated after {bound}"))
-    return df.where(ok.isNull())
-
-
-def P7(spark: SparkSession, d: str) -> DataFrame:
-    seen = guarded(panel(spark, d).where("date <= date '2018-12-31'"), "date", "2018-12-31")
-    return seen.groupBy("security_id").agg(F.count(F.lit(1)).alias("bars"))
-
-
 def P14(spark: SparkSession, d: str) -> DataFrame:
     p = panel(spark, d)
     out = (F.col("open") > F.col("high")) | (F.col("open") < F.col("low"))
     return p.agg(F.count_if(out).alias("violations"), F.count_if(out & bad_ohlc()).alias("known"), (F.count_if(out) == F.count_if(out & bad_ohlc())).alias("all_known"))
 
 
-def J14(spark: SparkSession, d: str) -> DataFrame:
-    """Securities with a suspicious bar, against counts of bars, claims and actions: joins of aggregates."""
-    p = panel(spark, d).groupBy("security_id").agg(F.count(F.lit(1)).alias("bars"), F.count_if(F.col("price_data_quality") == "suspicious").alias("suspicious")).where("suspicious > 0")
-    m = table(spark, d, "membership_records").where("security_id is not null").groupBy("security_id").agg(F.count(F.lit(1)).alias("claims"))
-    a = table(spark, d, "corporate_actions").groupBy("security_id").agg(F.count(F.lit(1)).alias("actions"))
-    z = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return p.join(m, "security_id", "left").join(a, "security_id", "left").select("security_id", "bars", "suspicious", z("claims"), z("actions"))
-
-
 def A33(spark: SparkSession, d: str) -> DataFrame:
     """Share of probes whose next session lacks an open."""
     p = panel(spark, d)
@@ -78,7 +58,7 @@ def O5(spark: SparkSession, d: str) -> DataFrame:
 def O7(spark: SparkSession, d: str) -> DataFrame:
     """Tickers in order of first appearance."""
     t = _claims(spark, d).groupBy("ticker").agg(F.min("membership_id").alias("first_id"))
-    return t.select("ticker", "first_id", F.row_number().over(Window.orderBy("first_id")).alias("place"))
+    return number_rows(t, [], ["first_id"], "place")
 
 
 def I1(spark: SparkSession, d: str) -> DataFrame:
@@ -118,20 +98,6 @@ def S24(spark: SparkSession, d: str) -> DataFrame:
     return upsert.with_surrogate(a.union(b).where("name is not null").distinct(), "id", ["name"])
 
 
-def D2(spark: SparkSession, d: str) -> DataFrame:
-    """Review flags to add: gaps of a year that are not queued yet as gaps of two; null-safe anti join."""
-    c = _claims(spark, d).where("removal_date is null or removal_date > effective_date")
-    one, two = (reuse_gaps(c, "ticker", "effective_date", "removal_date", n) for n in (365, 730))
-    return upsert.insert_new(two, one, ["ticker", "period_1_start", "period_1_end", "period_2_start"], ["gap_days"])
-
-
-def A18(spark: SparkSession, d: str) -> DataFrame:
-    """Conditional means over event rows, and an extrapolation to ten times as many."""
-    e = table(spark, d, "events")
-    big = F.col("value") > 10
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(big, F.col("value"))), 6).alias("mean_large"), F.round(F.avg(F.when(~big, F.col("value"))), 6).alias("mean_small"), (F.count(F.lit(1)) * 10).alias("projected"))
-
-
 def M1(spark: SparkSession, d: str) -> DataFrame:
     """The cross-sectional and regime columns of the feature matrix."""
     by = Window.partitionBy("as_of")
@@ -148,8 +114,8 @@ def M1(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "P7_date_guard": P7, "P14_violations_known": P14, "J14_cross_reference": J14, "A33_open_coverage": A33, "W16_overnight_panel": W16, "W18_running_peak": W18, "O5_flagged_sample": O5, "O7_ordered_tickers": O7, "I1_new_securities": I1,
-    "I7_rename_fallback": I7, "I11_split_routing": I11, "S3_schema_evolution": S3, "S24_source_dimension": S24, "D2_review_flags": D2, "A18_conditional_means": A18, "M1_feature_matrix": M1,
+    "P14_violations_known": P14, "A33_open_coverage": A33, "W16_overnight_panel": W16, "W18_running_peak": W18, "O5_flagged_sample": O5, "O7_ordered_tickers": O7, "I1_new_securities": I1,
+    "I7_rename_fallback": I7, "I11_split_routing": I11, "S3_schema_evolution": S3, "S24_source_dimension": S24, "M1_feature_matrix": M1,
 }
 
 _K = "nullif(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
@@ -161,14 +127,8 @@ _MR = "case when {0} is not null and count({0}) over (partition by as_of) >= 2 t
 _KIND = "list_bool_or([abs(ratio_or_value - c) / c <= 0.03 for c in [1.5,2,2.5,3,4,5,6,7,8,10,15,20,25,50,100]] || [abs(ratio_or_value - 1/c) / (1/c) <= 0.03 for c in [1.5,2,2.5,3,4,5,6,7,8,10,15,20,25,50,100]])"
 
 
-def _gap(n: int) -> str:
-    return f"select ticker, a as period_1_start, e as period_1_end, n as period_2_start, (n - e)::bigint as gap_days from g where n - e >= {n} qualify row_number() over (partition by ticker order by a, e) = 1"
-
-
 SQL = {
-    "P7_date_guard": f"with {PANEL} select security_id, count(*) as bars from panel where date <= date '2018-12-31' group by 1",
     "P14_violations_known": f"with {PANEL}, v as (select count(case when {_OUT} then 1 end) as violations, count(case when ({_OUT}) and ({_BAD}) then 1 end) as known from panel) select violations, known, violations = known as all_known from v",
-    "J14_cross_reference": f"with {PANEL}, p as (select security_id, count(*) as bars, count(case when price_data_quality = 'suspicious' then 1 end) as suspicious from panel group by 1), m as (select security_id, count(*) as claims from membership_records group by 1), a as (select security_id, count(*) as actions from corporate_actions group by 1) select p.security_id, bars, suspicious, coalesce(claims, 0) as claims, coalesce(actions, 0) as actions from p left join m using (security_id) left join a using (security_id) where suspicious > 0",
     "A33_open_coverage": f"{_P}, s as (select as_of, (select min(date) from panel where date >= as_of) as date from months) select p.as_of, count(*) as pairs, count(*) - count(b.open) as without_open, round(1 - count(b.open) / count(*), 6) as share from probes p join s using (as_of) left join panel b on b.security_id = p.security_id and b.date = s.date where s.date is not null group by 1",
     "W16_overnight_panel": f"with {PANEL}, cal as (select date, lag(date) over (order by date) as prev_session from (select distinct date from panel)), j as (select p.*, prev_session, lag(p.date) over w as pd, lag(close) over w as pc from panel p join cal using (date) window w as (partition by security_id order by p.date)), r as (select year(date)::bigint as year, case when pd = prev_session and open > 0 and pc > 0 then ln(open / pc) end as r from j) select year, count(r) as pairs, round(avg(r), 8) as mean from r group by 1",
     "W18_running_peak": f"with {PANEL}, p as (select *, max(close) over (partition by security_id order by date) as peak from panel) select security_id, round(min((close - peak) / peak), 6) as max_drawdown from p where peak > 0 group by 1",
@@ -179,7 +139,5 @@ SQL = {
     "I11_split_routing": f"select distinct security_id, ex_date, ratio_or_value, case when {_KIND} then case when ratio_or_value > 1 then 'split' else 'reverse_split' end else 'artifact' end as route, concat_ws(' | ', detail, case when not {_KIND} then 'likely spin-off' end) as note from corporate_actions where action_type in ('split', 'reverse_split')",
     "S3_schema_evolution": "select source_id, source_name, false as retired, 0::bigint as rows_seen from data_sources",
     "S24_source_dimension": "with t as (select regexp_replace(lower(source_name), '\\s+', '', 'g') as name from membership_records union select regexp_replace(lower(source_name), '\\s+', '', 'g') from data_sources) select name, row_number() over (order by name) as id from t where name is not null",
-    "D2_review_flags": f"with {_CL}, s as (select distinct ticker, effective_date as a, removal_date as e from cl where effective_date is not null and (removal_date is null or removal_date > effective_date)), g as (select *, lead(a) over (partition by ticker order by a, e nulls first) as n from s), one as ({_gap(365)}), two as ({_gap(730)}) select * from one where not exists (select 1 from two where two.ticker = one.ticker and two.period_1_start = one.period_1_start and two.period_1_end = one.period_1_end and two.period_2_start = one.period_2_start)",
-    "A18_conditional_means": "select event_type, count(*) as n, round(avg(case when value > 10 then value end), 6) as mean_large, round(avg(case when not value > 10 then value end), 6) as mean_small, count(*) * 10 as projected from events group by 1",
     "M1_feature_matrix": f"{_P}, {_F1} select sid as security_id, as_of, round({_MR.format('return_3m')}, 6) as momentum_percentile_rank, round({_MR.format('realised_volatility_63d')}, 6) as volatility_percentile_rank, round(avg(return_3m) over (partition by as_of), 6) as proxy_index_trend, round(avg(case when distance_from_200d_ma > 0 then 1.0 when distance_from_200d_ma <= 0 then 0.0 end) over (partition by as_of), 6) as breadth_proxy from fat",
 }

@@ -8,9 +8,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.plans import asof_queries, backtest_queries, claims_queries, feature_queries, model_queries, more_queries, preparation, source_queries, stats_queries, universe_queries
+from chronopanel.plans import asof_queries, backtest_queries, claims_queries, feature_queries, model_queries, more_queries, preparation, run_queries, source_queries, stats_queries, universe_queries
 
-_PARTS = (preparation, asof_queries, feature_queries, claims_queries, universe_queries, stats_queries, backtest_queries, model_queries, source_queries, more_queries)
+_PARTS = (preparation, asof_queries, feature_queries, claims_queries, universe_queries, stats_queries, backtest_queries, model_queries, source_queries, more_queries, run_queries)
 
 
 def widened(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -15,7 +15,7 @@ from chronopanel.streaming import events as streams
 
 
 def S8(spark: SparkSession, d: str) -> DataFrame:
-    return readers.SyntheticPrices(empty=["NONE"], gaps={"GAPS": 10}).fetch(spark, ["AAA", "BBB", "GAPS", "NONE"], "2020-01-01", "2020-12-31")
+    return readers.SyntheticPrices(empty=["NONE"], gaps={"GAPS": ("2020-03-02", "2020-04-30")}).fetch(spark, ["AAA", "BBB", "GAPS", "NONE"], "2020-01-01", "2020-12-31")
 
 
 def S9(spark: SparkSession, d: str) -> DataFrame:
