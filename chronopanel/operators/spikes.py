@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -29,6 +30,11 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def _number(x: object) -> int:
+    """A key as a number, the same in every process."""
+    return int(x) if isinstance(x, int | np.integer) else int.from_bytes(hashlib.blake2b(str(x).encode(), digest_size=8).digest(), "big", signed=True)
+
+
 def path_length(n: np.ndarray | float) -> np.ndarray:
     """Mean depth of an unsuccessful search in a binary tree of n points."""
     n = np.asarray(n, float)
@@ -240,7 +246,7 @@ def _detector(keys: int, cfg: dict):  # noqa: ANN202
             pick = np.flatnonzero(last)
             series, day = series[pick], day[pick]
             first = np.flatnonzero(np.r_[True, series[1:] != series[:-1]])
-            ids = _mix(*[np.array([hash(str(x)) if not isinstance(x, int | np.integer) else int(x) for x in v[pick][first]]).astype(np.int64) for v in cols])
+            ids = _mix(*[np.array([_number(x) for x in v[pick][first]], np.int64) for v in cols])
             prices = np.stack([t.column(c).to_numpy(zero_copy_only=False)[pick].astype(float) for c in ("_o", "_h", "_l", "_c")], axis=1)
             r = judge(series, ids, day, prices, cfg)
             at = pa.array(pick)
@@ -261,7 +267,7 @@ def implausible_bars(
     order: Sequence[str] = (),
     trees: int = 24,
     sample: int = 128,
-    least_score: float = 0.48,
+    least_score: float = 0.52,
     far: float = 16.0,
     stuck_over: int = 6,
     least_sigma: float = 1e-6,
@@ -277,8 +283,8 @@ def implausible_bars(
       them; a null or NaN price takes no part,
     * stuck: open or close unchanged over more than `stuck_over` bars in a row
       (bars without a close do not count); not the first bar of the run,
-    * spike: isolated by the forest (score >= `least_score`) and, by exact
-      check, a price further than `far` usual moves (1.4826 MAD of the series'
+    * spike: nominated by the forest (score >= `least_score`) and, by the exact
+      check that follows, a price further than `far` usual moves (1.4826 MAD of the series'
       log returns) from the close before and the close after a run of at most
       two bars, which agree with each other, so lasting changes are none.
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronopanel.operators import asof, crosssection, trailing
+from chronopanel.operators import asof, ranking, trailing
 from chronopanel.operators.calendar import business_days, month_starts
 from chronopanel.plans.fixtures import MONTHS, PANEL, PROBES, months, panel, probes
-from chronopanel.session import table
+from chronopanel.session import checkpoint, table
 
 R = 6
 
@@ -113,7 +113,9 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Mid-rank of the trailing 21-row return at each month start."""
     p = panel(spark, d).withColumn("ret", trailing.return_between("close", 0, 21))
     at = asof.asof_backward(probes(spark, d), p, ["security_id"], "as_of", "date", ["ret"])
-    return at.withColumn("pct", crosssection.mid_rank("ret", ["as_of"])).where("ret is not null").select("security_id", "as_of", _r("ret"), _r("pct"))
+    at = checkpoint(at.where("ret is not null"))  # read for the counts and for the join
+    ranked = ranking.value_ranks(at, ["as_of"], "ret")
+    return ranked.withColumn("pct", F.when(F.col("_n") >= 2, (F.col("_below") + 0.5 * F.col("_equal")) / F.col("_n"))).select("security_id", "as_of", _r("ret"), _r("pct"))
 
 
 QUERIES = {

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from chronopanel.functions.keys import source_key, ticker_key
 from chronopanel.operators import asof, trailing, upsert
 from chronopanel.operators.adjust import split_kind
-from chronopanel.operators.crosssection import mid_rank
 from chronopanel.operators.quality import bad_ohlc
 from chronopanel.operators.ranking import number_rows
 from chronopanel.plans.claims_queries import SQL as CLAIMS_SQL, _claims
-from chronopanel.plans.feature_queries import _F1, features_at
+from chronopanel.plans.feature_queries import _F1, FAMILIES, family_features
 from chronopanel.plans.fixtures import MONTHS, PANEL, PROBES, months, panel, probes
 from chronopanel.session import table
 from chronopanel.sources import readers
@@ -98,19 +97,13 @@ def S24(spark: SparkSession, d: str) -> DataFrame:
     return upsert.with_surrogate(a.union(b).where("name is not null").distinct(), "id", ["name"])
 
 
+#: Traded values, given to the unit; all other features to six places.
+_WHOLE = ("dollar_volume", "rolling_avg_dollar_volume_20d")
+
+
 def M1(spark: SparkSession, d: str) -> DataFrame:
-    """The cross-sectional and regime columns of the feature matrix."""
-    by = Window.partitionBy("as_of")
-    above = F.when(F.col("distance_from_200d_ma") > 0, 1.0).when(F.col("distance_from_200d_ma") <= 0, 0.0)
-    f = features_at(spark, d)
-    return f.select(
-        "security_id",
-        "as_of",
-        F.round(mid_rank("return_3m", ["as_of"]), 6).alias("momentum_percentile_rank"),
-        F.round(mid_rank("realised_volatility_63d", ["as_of"]), 6).alias("volatility_percentile_rank"),
-        F.round(F.avg("return_3m").over(by), 6).alias("proxy_index_trend"),
-        F.round(F.avg(above).over(by), 6).alias("breadth_proxy"),
-    )
+    """The feature matrix: every probe with the 18 features of the five families."""
+    return family_features(spark, d).select("security_id", "as_of", *[F.round(c, 0 if c in _WHOLE else 6).alias(c) for x in FAMILIES.values() for c in x])
 
 
 QUERIES = {
@@ -123,7 +116,14 @@ _CL = CLAIMS_SQL["I3_claims_ingest"].split("with ", 1)[1].split(", n as (", 1)[0
 _P = f"with {PANEL}, {MONTHS}, {PROBES}"
 _OUT = "open > high or open < low"
 _BAD = "high < low or high < open or high < close or low > open or low > close or open <= 0 or close <= 0"
-_MR = "case when {0} is not null and count({0}) over (partition by as_of) >= 2 then (rank() over (partition by as_of order by {0} nulls last) - 1 + 0.5 * count(*) over (partition by as_of, {0})) / count({0}) over (partition by as_of) end"
+_DD = """n0 as (select *, row_number() over (partition by security_id order by date) as n from panel), s0 as (select p.security_id, p.as_of, b.n from probes p asof left join n0 b on p.security_id = b.security_id and p.as_of >= b.date),
+ x0 as (select s0.security_id, s0.as_of, n0.close, max(n0.close) over (partition by s0.security_id, s0.as_of order by n0.n) as peak from s0 join n0 on n0.security_id = s0.security_id and n0.n between s0.n - 251 and s0.n where s0.n >= 252),
+ mdd as (select security_id, as_of, min(least(0, case when peak > 0 then (close - peak) / peak else 0 end)) as max_drawdown_252d from x0 group by 1, 2)"""
+_PV = """se as (select date, lag(date) over (order by date) as prev_session, row_number() over (order by date) as i from (select distinct date from panel)), mi as (select as_of, max(i) as i from months join se on date <= as_of group by 1),
+ wn as (select mi.as_of, se.date, se.prev_session from mi join se on se.i between mi.i - 62 and mi.i), lb as (select security_id, max(date) as last from panel group by 1),
+ rr as (select a.security_id, a.date, a.close / b.close - 1 as r, last from panel a join se on se.date = a.date join panel b on b.security_id = a.security_id and b.date = se.prev_session join lb on lb.security_id = a.security_id where b.close <> 0),
+ pv as (select as_of, stddev_samp(m) as proxy_index_volatility from (select as_of, wn.date, avg(r) as m from wn join rr on rr.date = wn.date where as_of <= last + 40 group by 1, 2) group by 1)"""
+_MR = "case when {0} is not null and count({0}) over (partition by fat.as_of) >= 2 then (rank() over (partition by fat.as_of order by {0} nulls last) - 1 + 0.5 * count(*) over (partition by fat.as_of, {0})) / count({0}) over (partition by fat.as_of) end"
 _KIND = "list_bool_or([abs(ratio_or_value - c) / c <= 0.03 for c in [1.5,2,2.5,3,4,5,6,7,8,10,15,20,25,50,100]] || [abs(ratio_or_value - 1/c) / (1/c) <= 0.03 for c in [1.5,2,2.5,3,4,5,6,7,8,10,15,20,25,50,100]])"
 
 
@@ -139,5 +139,9 @@ SQL = {
     "I11_split_routing": f"select distinct security_id, ex_date, ratio_or_value, case when {_KIND} then case when ratio_or_value > 1 then 'split' else 'reverse_split' end else 'artifact' end as route, concat_ws(' | ', detail, case when not {_KIND} then 'likely spin-off' end) as note from corporate_actions where action_type in ('split', 'reverse_split')",
     "S3_schema_evolution": "select source_id, source_name, false as retired, 0::bigint as rows_seen from data_sources",
     "S24_source_dimension": "with t as (select regexp_replace(lower(source_name), '\\s+', '', 'g') as name from membership_records union select regexp_replace(lower(source_name), '\\s+', '', 'g') from data_sources) select name, row_number() over (order by name) as id from t where name is not null",
-    "M1_feature_matrix": f"{_P}, {_F1} select sid as security_id, as_of, round({_MR.format('return_3m')}, 6) as momentum_percentile_rank, round({_MR.format('realised_volatility_63d')}, 6) as volatility_percentile_rank, round(avg(return_3m) over (partition by as_of), 6) as proxy_index_trend, round(avg(case when distance_from_200d_ma > 0 then 1.0 when distance_from_200d_ma <= 0 then 0.0 end) over (partition by as_of), 6) as breadth_proxy from fat",
+    "M1_feature_matrix": f"""{_P}, {_F1}, {_DD}, {_PV}, z as (select sid as security_id, fat.as_of, fat.* exclude (sid, as_of), max_drawdown_252d, return_3m - avg(return_3m) over (partition by fat.as_of) as return_relative_to_eligible_mean_63d,
+      {_MR.format('return_12m')} as momentum_percentile_rank, {_MR.format('realised_volatility_63d')} as volatility_percentile_rank, avg(return_3m) over (partition by fat.as_of) as proxy_index_trend, proxy_index_volatility,
+      avg(case when distance_from_200d_ma > 0 then 1.0 when distance_from_200d_ma <= 0 then 0.0 end) over (partition by fat.as_of) as breadth_proxy
+      from (select * from fat) fat left join mdd on mdd.security_id = fat.sid and mdd.as_of = fat.as_of left join pv on pv.as_of = fat.as_of)
+      select security_id, as_of, {', '.join(f"round({c}, {0 if c in _WHOLE else 6}) as {c}" for x in FAMILIES.values() for c in x)} from z""",
 }

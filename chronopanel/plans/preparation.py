@@ -61,6 +61,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_grid(spark, d).where("status = 'filled'").select("security_id", "source_id", F.date_format("date", "yyyy-MM-dd").alias("missing_date"))
 
 
+def p6_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """Per series: sessions of its span, those observed and those filled, and the observed values' sum unchanged."""
+    g = p6_grid(spark, d)
+    seen = F.col("status") == "observed"
+    return g.groupBy("security_id", "source_id").agg(F.count(F.lit(1)).alias("sessions"), F.count_if(seen).alias("observed"), F.count_if(F.col("status") == "filled").alias("filled"), F.count_if(F.col("close").isNull()).alias("without_close"), F.round(F.sum(F.when(seen, F.col("close"))), 4).alias("observed_sum"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     claims = usable_claims(spark, d).select(ticker_key("raw_ticker").alias("ticker_key"), "index_name", source_key("source_name").alias("src"), "effective_date", F.struct("ingested_at", "membership_id", "removal_date").alias("c"))
     last = claims.where("ticker_key is not null and index_name is not null").groupBy("ticker_key", "index_name", "src", "effective_date").agg(F.max("c").alias("c"))
@@ -71,7 +78,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 _KEY = "nullif(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
 _USABLE = "(select * replace (case when removal_date < date '9999-12-31' then removal_date end as removal_date) from membership_records where effective_date is not null and (removal_date is null or removal_date > effective_date))"
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_scored": p3_scored, "p4_found": p4_found, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_scored": p3_scored, "p4_found": p4_found, "p6_found": p6_found, "p6_grid": p6_grid, "p6_statuses": p6_statuses, "p7_found": p7_found}
 
 SQL = {
     "p2_found": f"""
@@ -110,6 +117,12 @@ from r join s on s.i between r.a and r.z anti join b on b.security_id = r.securi
         "anti join b on b.security_id = r.security_id and b.source_id = r.source_id and b.i = s.i",
         "where not exists (select 1 from b where b.security_id = r.security_id and b.source_id = r.source_id and b.i = s.i)",
     ),
+    "p6_statuses": """
+with s as (select session_date, row_number() over (order by session_date) as i from (select distinct session_date from trading_sessions where session_date is not null)),
+b as (select security_id, source_id, i, close from prices join s on date = session_date where close is not null and not isnan(close) and security_id is not null and source_id is not null
+  qualify row_number() over (partition by security_id, source_id, date order by ingested_at desc nulls last, price_id desc) = 1),
+r as (select security_id, source_id, min(i) as a, max(i) as z, count(*) as n, sum(close) as t from b group by all)
+select security_id, source_id, z - a + 1 as sessions, n as observed, z - a + 1 - n as filled, 0::bigint as without_close, round(t, 4) as observed_sum from r""",
     "p7_found": f"""
 with c as (
   select {_KEY.format("raw_ticker")} as ticker_key, index_name, effective_date as s, coalesce(removal_date, date '9999-12-31') as e

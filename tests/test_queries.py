@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronopanel.operators import bootstrap, fold, models
-from chronopanel.plans import backtest_queries, feature_queries, model_queries, registry
+from chronopanel.plans import backtest_queries, feature_queries, model_queries, registry, universe_queries
 from chronopanel.plans.fixtures import panel
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, sf, con, name):
             assert (a[c].astype(str) == b[c].astype(str)).all(), c
 
 
-@pytest.mark.parametrize("name", ["p3_found", "p6_grid", "G2_block_length", "M6_linear_models", "B8_metrics", "S8_synthetic_bars"])
+@pytest.mark.parametrize("name", ["p3_found", "p6_grid", "G2_block_length", "M6_linear_models", "S2_guarded_reset", "S8_synthetic_bars"])
 def test_query_without_sql_gives_rows(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
 
@@ -71,19 +71,37 @@ def test_entry(spark):
 
 
 def test_all_random_runs(spark, sf):
-    runs = [r["run_id"] for r in registry.QUERIES["B8_metrics"](spark, sf).select("run_id").collect()]
-    assert sum(r.startswith("random_") for r in runs) == 200 and len(set(runs)) == len(runs)
-    w = backtest_queries.strategy_weights(spark, sf)
-    could = {r["security_id"]: 200 * r["count"] for r in w.where("run_id = 'equal_weight'").groupBy("security_id").count().collect()}
-    did = {r["security_id"]: r["count"] for r in w.where("run_id like 'random_%'").groupBy("security_id").count().collect()}
-    for r in registry.QUERIES["A22_selection_counts"](spark, sf).collect():
-        assert r["opportunities"] == could[r["security_id"]] and r["picked"] == did[r["security_id"]] <= r["opportunities"]
+    d = sf.replace("sf0.001", "sf0.01")
+    runs = [r["run_id"] for r in registry.QUERIES["B8_metrics"](spark, d).select("run_id").collect()]
+    for policy in ("STRICT", "PERMISSIVE"):
+        assert sum(r.startswith(f"{policy}:random_") for r in runs) == 200 and {f"{policy}:{x}" for x in ("equal_weight", "buy_and_hold", "top_momentum", "bottom_momentum")} <= set(runs)
+    assert len(set(runs)) == len(runs) == 408
+
+
+def test_random_names_are_eligible_different_and_as_many_as_there_can_be(spark, sf):
+    e = universe_queries.eligible(spark, sf.replace("sf0.001", "sf0.01"))
+    here = {}
+    for r in e.collect():
+        here.setdefault((r["policy"], r["as_of"]), set()).add(r["security_id"])
+    got = {}
+    for r in backtest_queries.random_selection(7)(e).collect():
+        got.setdefault((r["policy"], r["as_of"], r["strategy"]), []).append((r["security_id"], r["weight"]))
+    assert len(got) == 7 * len(here)
+    for (policy, as_of, _), names in got.items():
+        ids = [x for x, _ in names]
+        assert len(ids) == len(set(ids)) == min(20, len(here[policy, as_of])) and set(ids) <= here[policy, as_of] and sum(w for _, w in names) == pytest.approx(1)
+
+
+def test_reruns_agree(spark, sf):
+    r = registry.QUERIES["B10_reproducibility"](spark, sf.replace("sf0.001", "sf0.01")).first()
+    assert r["reproducible"] and r["runs"] == r["equal_runs"] == 18
 
 
 def test_plan_has_all_rows_that_trading_needs(spark, sf):
     """The same snapshots as from a row for every name a run ever targets on every later date."""
-    p = panel(spark, sf).cache()
-    w = backtest_queries.strategy_weights(spark, sf, 2)
+    d = sf.replace("sf0.001", "sf0.01")
+    p = panel(spark, d).cache()
+    w = backtest_queries.strategy_weights(spark, d, 2, p).where("run_id like 'PERMISSIVE:%'").withColumn("run_id", F.split("run_id", ":")[1])
     # every third date of one run, and few names of another, so that names stay untargeted for some time
     w = w.where("run_id <> 'random_1' or month(as_of) % 3 = 0").where("run_id <> 'random_2' or (security_id + month(as_of)) % 2 = 0").cache()
     plan = backtest_queries.plan_of(w, p).toPandas()
