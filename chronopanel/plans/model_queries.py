@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.operators import models, splits
+from chronopanel.operators import linear, models, splits
 from chronopanel.operators.crosssection import rank_correlation, safe_corr
 from chronopanel.plans.feature_queries import _F1, _LAB, FAMILIES, LADDER, family_features, features_at, features_of, labels
 from chronopanel.plans.fixtures import MONTHS, PANEL, PROBES, months
@@ -14,12 +15,13 @@ from chronopanel.session import checkpoint
 
 X = ("return_1m", "return_3m", "distance_from_200d_ma", "realised_volatility_63d", "volume_trend_20d_100d")
 ALL = features_of(tuple(FAMILIES))
-#: Candidates of each model, by what a report calls them; a fit takes the features first.
+#: Penalties of each linear model, by what a report calls them.
 LINEAR = {
-    "ridge": {f"alpha={a:g}": (lambda x, a=a: models.fit_linear(x, "y", a)) for a in (10.0, 3.0, 1.0, 0.3, 0.1)},
-    "logistic": {f"C={c:g}": (lambda x, c=c: models.fit_logistic(x, "z", c)) for c in (0.03, 0.1, 0.3, 1.0, 3.0)},
-    "elastic_net": {f"alpha={a:g}": (lambda x, a=a: models.fit_linear(x, "y", a, 0.5)) for a in (0.01, 0.003, 0.001, 0.0003, 0.0001, 0.00003)},
+    "ridge": {f"alpha={a:g}": a for a in (10.0, 3.0, 1.0, 0.3, 0.1)},
+    "logistic": {f"C={c:g}": c for c in (0.03, 0.1, 0.3, 1.0, 3.0)},
+    "elastic_net": {f"alpha={a:g}": a for a in (0.01, 0.003, 0.001, 0.0003, 0.0001, 0.00003)},
 }
+#: Fits of each tree model; a fit takes the features first.
 TREES = {
     "random_forest": {f"trees={n} depth={k} least={m}": (lambda x, n=n, k=k, m=m: models.fit_trees(x, "y", trees=n, depth=k, least=m)) for n in (100, 300) for k in (3, 5, 8) for m in (20, 50)},
     "boosted_trees": {f"depth={k} step={r:g} trees={n} least={m}": (lambda x, n=n, k=k, m=m, r=r: models.fit_trees(x, "y", True, trees=n, depth=k, least=m, step=r)) for k in (2, 3) for r in (0.01, 0.05) for n in (50, 150) for m in (20, 50)},
@@ -71,8 +73,68 @@ def _ladder(spark: SparkSession, d: str, grids: dict[str, dict], steps: dict[str
     return out
 
 
+def _fits(p: DataFrame, moments: dict, jobs: list[tuple[str, tuple[str, ...], float, list]]) -> list[np.ndarray]:
+    """Coefficients over ALL of each job (model, features, penalty, dates): linear ones from sums, logistic ones all together."""
+    place = {c: i for i, c in enumerate(ALL)}
+    cols = [tuple(place[c] for c in x) for _, x, _, _ in jobs]
+    logits = [i for i, job in enumerate(jobs) if job[0] == "logistic"]
+    many = linear.logistic_all(p, "as_of", ALL, "z", [linear.Logit(cols[i], frozenset(jobs[i][3]), jobs[i][2]) for i in logits], moments) if logits else []
+    got = dict(zip(logits, many, strict=True))
+    out = []
+    for i, (model, _, penalty, dates) in enumerate(jobs):
+        m = linear.total(moments, dates, len(ALL) + 2)
+        c = got[i] if i in got else linear.ridge(m, cols[i], penalty) if model == "ridge" else linear.elastic_net(m, cols[i], penalty)
+        whole = np.zeros(len(ALL) + 1)
+        whole[[0, *[1 + k for k in cols[i]]]] = c
+        # a logistic score is the log-odds, whose sign is that of the probability less a half
+        out.append(whole)
+    return out
+
+
+def _tuned(p: DataFrame) -> tuple[dict, list[tuple[str, str, str, float, float | None, int]]]:
+    """Moments of the training dates; and of every candidate of every step (step, model, name, penalty, mean correlation in the inner folds, folds)."""
+    train = p.where("part = 'train'")
+    moments, folds = linear.moments_by(train, "as_of", ALL, "y"), _folds(train)
+    grid = [(step, model, name, penalty) for step in LADDER for model, g in LINEAR.items() for name, penalty in g.items()]
+    jobs = [(model, features_of(LADDER[step]), penalty, inner) for step, model, _, penalty in grid for inner, _ in folds]
+    coefs = _fits(train, moments, jobs) if folds else []
+    at = [(i, f) for i in range(len(grid)) for f in range(len(folds))]
+    got: dict[int, list[float]] = {i: [] for i in range(len(grid))}
+    if at:
+        s = linear.scored(train, "as_of", ALL, "y", [(f"{i}|{f}", folds[f][1], c) for (i, f), c in zip(at, coefs, strict=True)])
+        per = rank_correlation(s, ["model", "as_of"], "score", "y", 5)
+        for r in per.groupBy("model").agg(F.avg("ic").alias("ic")).where("ic is not null").collect():  # a number for each fit
+            got[int(r["model"].split("|")[0])].append(r["ic"])
+    return moments, [(*g, sum(got[i]) / len(got[i]) if got[i] else None, len(got[i])) for i, g in enumerate(grid)]
+
+
+def _best(tuned: list[tuple[str, str, str, float, float | None, int]]) -> dict[tuple[str, str], tuple[str, float]]:
+    """The candidate of each (step, model) with the greatest mean, the first if all are undefined."""
+    out: dict[tuple[str, str], tuple[str, float, float]] = {}
+    for step, model, name, penalty, mean, _ in tuned:
+        m = -np.inf if mean is None else mean
+        if (step, model) not in out or m > out[step, model][2]:
+            out[step, model] = (name, penalty, m)
+    return {k: v[:2] for k, v in out.items()}
+
+
 def M6(spark: SparkSession, d: str) -> DataFrame:
-    return _ladder(spark, d, LINEAR, LADDER)
+    """Ridge, logistic and elastic net on each step of the ladder: tuned on the training dates, fitted on all of them, judged on validation.
+
+    All fits come from sums per date and a few joint passes; all are scored in one job.
+    """
+    p = training_panel(spark, d, full=True)
+    moments, tuned = _tuned(p)
+    best = _best(tuned)
+    train, val = p.where("part = 'train'"), p.where("part = 'validation'")
+    jobs = [(model, features_of(LADDER[step]), penalty, list(moments)) for (step, model), (_, penalty) in best.items()]
+    dates = sorted(r["as_of"] for r in val.select("as_of").distinct().collect())  # the calendar
+    coefs = _fits(train, moments, jobs)
+    s = linear.scored(val, "as_of", ALL, "y", [("|".join(k), dates, c) for k, c in zip(best, coefs, strict=True)])
+    per = rank_correlation(s, ["model", "as_of"], "score", "y", 5)
+    e = per.groupBy("model").agg(F.avg("ic").alias("mean_ic"), F.median("ic").alias("median_ic"), F.stddev_samp("ic").alias("sd_ic"), F.avg("hit_rate").alias("hit_rate"), F.count(F.lit(1)).alias("dates"))
+    names = spark.createDataFrame([("|".join(k), *k, v[0]) for k, v in best.items()], "key string, step string, model string, chosen string")
+    return names.join(e.withColumnRenamed("model", "key"), "key", "left").select("step", "model", *[F.round(c, 6).alias(c) for c in ("mean_ic", "median_ic", "sd_ic", "hit_rate")], F.coalesce("dates", F.lit(0).cast("long")).alias("dates"), "chosen")
 
 
 def M7(spark: SparkSession, d: str) -> DataFrame:
@@ -82,12 +144,9 @@ def M7(spark: SparkSession, d: str) -> DataFrame:
 
 def M8(spark: SparkSession, d: str) -> DataFrame:
     """What every candidate of the linear models gets in the inner folds, and which is chosen, on each step of the ladder."""
-    train = training_panel(spark, d, full=True).where("part = 'train'")
-    folds, rows = _folds(train), []
-    for step, families in LADDER.items():
-        for name, grid in LINEAR.items():
-            best, means = models.tune(train, "as_of", "y", [fit(features_of(families)) for fit in grid.values()], folds)
-            rows += [(step, name, c, m, n, i == best) for i, (c, (m, n)) in enumerate(zip(grid, means, strict=True))]
+    _, tuned = _tuned(training_panel(spark, d, full=True))
+    best = _best(tuned)
+    rows = [(step, model, name, mean, folds, best[step, model][0] == name) for step, model, name, _, mean, folds in tuned]
     return spark.createDataFrame(rows, "step string, model string, candidate string, mean_ic double, folds int, chosen boolean").withColumn("mean_ic", F.round("mean_ic", 6))
 
 
@@ -102,10 +161,20 @@ def M10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def M13(spark: SparkSession, d: str) -> DataFrame:
-    """Validation figures along a path of elastic-net penalties, on the features of all families."""
+    """Along a path of elastic-net penalties on the features of all families: coefficients kept, spread of predictions, validation figures."""
     p = training_panel(spark, d, full=True)
     train, val = p.where("part = 'train'"), p.where("part = 'validation'")
-    return _report(spark, [(f"alpha_{a:g}", models.fit_linear(ALL, "y", a, 0.5)(train)(val)) for a in PENALTIES])
+    moments = linear.moments_by(train, "as_of", ALL, "y")
+    coefs = _fits(train, moments, [("elastic_net", ALL, a, list(moments)) for a in PENALTIES])
+    names = [f"alpha_{a:g}" for a in PENALTIES]
+    dates = sorted(r["as_of"] for r in val.select("as_of").distinct().collect())  # the calendar
+    s = checkpoint(linear.scored(val, "as_of", ALL, "y", [(n, dates, c) for n, c in zip(names, coefs, strict=True)]))
+    per = rank_correlation(s, ["model", "as_of"], "score", "y", 5)
+    e = per.groupBy("model").agg(F.avg("ic").alias("mean_ic"), F.median("ic").alias("median_ic"), F.stddev_samp("ic").alias("sd_ic"), F.avg("hit_rate").alias("hit_rate"), F.count(F.lit(1)).alias("dates"))
+    spread = s.groupBy("model").agg(F.stddev_samp("score").alias("prediction_sd"))
+    kept = spark.createDataFrame([(n, int((np.abs(c[1:]) > 1e-12).sum())) for n, c in zip(names, coefs, strict=True)], "model string, coefficients int")
+    j = kept.join(spread, "model", "left").join(e, "model", "left")
+    return j.select("model", "coefficients", F.round("prediction_sd", 6).alias("prediction_sd"), *[F.round(c, 6).alias(c) for c in ("mean_ic", "median_ic", "sd_ic", "hit_rate")], F.coalesce("dates", F.lit(0).cast("long")).alias("dates"))
 
 
 QUERIES = {"M5_baselines": M5, "M6_linear_models": M6, "M7_tree_models": M7, "M8_tuning": M8, "M10_history_diagnostic": M10, "M13_penalty_path": M13}

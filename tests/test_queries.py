@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chronopanel.operators import bootstrap, fold, models
+from chronopanel.operators import bootstrap, fold, linear, models
 from chronopanel.plans import backtest_queries, feature_queries, model_queries, registry, universe_queries
 from chronopanel.plans.fixtures import panel
 
@@ -138,14 +138,45 @@ def test_models_run_the_whole_grid(spark, sf, monkeypatch):
 
     monkeypatch.setattr(model_queries.models, "tune", tune)
     monkeypatch.setattr(model_queries.models, "fit_trees", fit_trees)
-    assert registry.QUERIES["M8_tuning"](spark, d).count() == 5 * (5 + 5 + 6) and set(calls) == {(5, 3), (6, 3)} and len(calls) == 15
-    calls.clear()
+    tuned = registry.QUERIES["M8_tuning"](spark, d).collect()
+    assert len(tuned) == 5 * (5 + 5 + 6) and all(r["folds"] == 3 for r in tuned) and sum(r["chosen"] for r in tuned) == 15
+    fitted = registry.QUERIES["M6_linear_models"](spark, d).collect()
+    assert {(r["step"], r["model"], r["chosen"]) for r in fitted} == {(r["step"], r["model"], r["candidate"]) for r in tuned if r["chosen"]} and all(r["dates"] for r in fitted)
     assert registry.QUERIES["M7_tree_models"](spark, d).count() == 12 and sorted(calls) == [(12, 3)] * 6 + [(16, 3)] * 6
     assert {n for _, n, *_ in trees} == {6, 9, 12, 15, 18} and {t[2:] for t in trees if not t[0]} == {(n, k, m) for n in (100, 300) for k in (3, 5, 8) for m in (20, 50)}
     assert {t[2] for t in trees if t[0]} == {50, 150}
     assert registry.QUERIES["M13_penalty_path"](spark, d).count() == 7
 
 
+def test_grids_from_sums_equal_single_fits(spark):
+    """The coefficients from moments and joint passes score as the engine's own solvers do."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, [1, 5, 0.2], (600, 3)) + [0, 3, -1]
+    y = 0.5 * x[:, 0] - 0.1 * x[:, 1] + rng.normal(0, 1, 600)
+    rows = [(i % 6, *map(float, x[i]), float(y[i]), float(y[i] > 0)) for i in range(600)] + [(0, None, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "day int, a double, b double, c double, y double, z double").repartition(5)
+    names, days = ["a", "b", "c"], [0, 1, 2, 3]
+    m = linear.moments_by(df, "day", names, "y")
+    assert set(m) == set(range(6)) and m[0].products[0, 0] == 100
+    train, rest = df.dropna().where("day < 4"), df.dropna().where("day >= 4")
+    some = linear.total(m, days, 5)
+    fits = {
+        "ridge": (linear.ridge(some, (0, 1, 2), 3.0), models.fit_linear(names, "y", 3.0)),
+        "net": (linear.elastic_net(some, (0, 1, 2), 0.05), models.fit_linear(names, "y", 0.05, 0.5)),
+        "some": (np.insert(linear.ridge(some, (0, 2), 1.0), 2, 0.0), models.fit_linear(["a", "c"], "y", 1.0)),
+    }
+    for name, (c, fit) in fits.items():
+        got = sorted(r["score"] for r in linear.scored(rest, "day", names, "y", [(name, [4, 5], c)]).collect())
+        want = sorted(r["score"] for r in fit(train)(rest).select("score").collect())
+        assert np.allclose(got, want, atol=2e-4), name
+    logits = linear.logistic_all(df, "day", names, "z", [linear.Logit((0, 1, 2), frozenset(days), 0.3), linear.Logit((1,), frozenset([0, 1]), 1.0)], m)
+    want = [r["score"] for r in models.fit_logistic(names, "z", 0.3)(train)(rest).orderBy("a").select("score").collect()]
+    p = [1 / (1 + np.exp(-r["score"])) - 0.5 for r in linear.scored(rest.withColumn("y", F.col("a")), "day", names, "y", [("m", [4, 5], logits[0])]).orderBy("y").collect()]
+    assert np.allclose(p, want, atol=1e-4) and len(logits[1]) == 2
+    with pytest.raises(RuntimeError):
+        linear.logistic_all(df, "day", names, "z", [linear.Logit((0, 1, 2), frozenset(days), 0.3)], m, most=1)
+
+
 def test_tune_takes_the_best_mean_of_folds(spark):
     df = spark.createDataFrame([(day, i, float((i * 7 + day) % 6)) for day in range(6) for i in range(6)], "as_of int, i int, y double")
     flat, down, up = (lambda train, s=s: lambda x: x.withColumn("score", s * F.col("y")) for s in (0.0, -1.0, 1.0))
