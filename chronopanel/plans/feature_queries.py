@@ -11,7 +11,7 @@ from chronopanel.operators import adjust, asof, trailing
 from chronopanel.operators.crosssection import mid_rank
 from chronopanel.plans.asof_queries import _dividends
 from chronopanel.plans.fixtures import MONTHS, PANEL, PROBES, months, panel, probes
-from chronopanel.session import table
+from chronopanel.session import checkpoint, table
 
 FEATURES = ("return_1m", "return_3m", "return_6m", "return_12m", "momentum_acceleration", "distance_from_200d_ma", "realised_volatility_63d", "downside_volatility_63d", "dollar_volume", "rolling_avg_dollar_volume_20d", "volume_trend_20d_100d", "history_length")
 #: Families in the order in which an ablation adds them.
@@ -64,19 +64,22 @@ def price_features(p: DataFrame) -> DataFrame:
     )
 
 
-def features_at(spark: SparkSession, d: str) -> DataFrame:
-    """Features at each probe: computed per bar, then one as-of join."""
-    return asof.asof_backward(probes(spark, d), price_features(panel(spark, d)), ["security_id"], "as_of", "date", ["close", *FEATURES])
+def features_at(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    """Features at each probe: computed per bar, then one as-of join. p: the panel, where it is at hand."""
+    p = panel(spark, d) if p is None else p
+    return asof.asof_backward(probes(spark, d, p), price_features(p), ["security_id"], "as_of", "date", ["close", *FEATURES])
 
 
 def W_features(spark: SparkSession, d: str) -> DataFrame:
     return features_at(spark, d).select("security_id", "as_of", *[F.round(c, 6).alias(c) for c in FEATURES[:8]], *[F.round(c).alias(c) for c in FEATURES[8:10]], F.round(FEATURES[10], 6).alias(FEATURES[10]), F.coalesce(FEATURES[11], F.lit(0).cast("long")).alias(FEATURES[11]))
 
 
-def drawdowns(spark: SparkSession, d: str) -> DataFrame:
+def drawdowns(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
     """Drawdown within the last 252 rows, only for the bars a probe sees."""
-    p = panel(spark, d).withColumn("n", F.row_number().over(trailing.series()))
-    seen = asof.asof_backward(probes(spark, d), p, ["security_id"], "as_of", "date", ["n"]).where("n >= 252").select("security_id", "as_of", "n")
+    p = panel(spark, d) if p is None else p
+    at = probes(spark, d, p)
+    p = p.select("security_id", "date", "close").withColumn("n", F.row_number().over(trailing.series()))
+    seen = asof.asof_backward(at, p, ["security_id"], "as_of", "date", ["n"]).where("n >= 252").select("security_id", "as_of", "n")
     # a security's closes, as many as the calendar has days, travel once; each probe cuts its 252 out of them
     closes = p.groupBy("security_id").agg(F.array_sort(F.collect_list(F.struct("n", "close"))).alias("x"))
     got = seen.join(closes, "security_id")
@@ -131,9 +134,9 @@ def A6(spark: SparkSession, d: str) -> DataFrame:
     return v.select("date", F.round("v", 6).alias("proxy_index_volatility"))
 
 
-def proxy_volatility_at(spark: SparkSession, d: str, sessions: int = 63) -> DataFrame:
+def proxy_volatility_at(spark: SparkSession, d: str, sessions: int = 63, p: DataFrame | None = None) -> DataFrame:
     """Volatility at each month start of the mean return, over the last sessions, of the securities probed there."""
-    p = panel(spark, d)
+    p = (panel(spark, d) if p is None else p).select("security_id", "date", "close")
     cal = asof.sessions(p, "date").select("date", "prev_session")
     days = sorted(r["date"] for r in cal.select("date").collect())  # the calendar
     windows = [(m["as_of"], x) for m in months(spark, d).collect() for i in [bisect_right(days, m["as_of"])] for x in days[max(0, i - sessions) : i]]
@@ -145,11 +148,12 @@ def proxy_volatility_at(spark: SparkSession, d: str, sessions: int = 63) -> Data
     return r.groupBy("as_of", "date").agg(F.avg("r").alias("r")).groupBy("as_of").agg(F.stddev_samp("r").alias("proxy_index_volatility"))
 
 
-def family_features(spark: SparkSession, d: str) -> DataFrame:
-    """Each probe with the features of all families and the length of its history."""
+def family_features(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    """Each probe with the features of all families and the length of its history. The panel is made once, as four plans read it."""
+    p = checkpoint(panel(spark, d).select("security_id", "date", "close", "volume")) if p is None else p
     by = Window.partitionBy("as_of")
     above = F.when(F.col("distance_from_200d_ma") > 0, 1.0).when(F.col("distance_from_200d_ma") <= 0, 0.0)
-    f = features_at(spark, d).join(drawdowns(spark, d), ["security_id", "as_of"], "left").join(F.broadcast(proxy_volatility_at(spark, d)), "as_of", "left")
+    f = features_at(spark, d, p).join(drawdowns(spark, d, p), ["security_id", "as_of"], "left").join(F.broadcast(proxy_volatility_at(spark, d, p=p)), "as_of", "left")
     f = f.withColumns({
         "return_relative_to_eligible_mean_63d": F.col("return_3m") - F.avg("return_3m").over(by), "momentum_percentile_rank": mid_rank("return_12m", ["as_of"]), "volatility_percentile_rank": mid_rank("realised_volatility_63d", ["as_of"]),
         "proxy_index_trend": F.avg("return_3m").over(by), "breadth_proxy": F.avg(above).over(by),
@@ -188,9 +192,9 @@ def W21(spark: SparkSession, d: str) -> DataFrame:
     return out.select("security_id", "date", F.round("close", 6).alias("close"), F.round("volume").alias("volume"))
 
 
-def labels(spark: SparkSession, d: str, months: int = 3) -> DataFrame:
-    p = panel(spark, d)
-    start = asof.asof_backward(probes(spark, d).withColumn("target_date", F.add_months("as_of", months)), p, ["security_id"], "as_of", "date", [F.col("close").alias("close0")]).drop("fact_time")
+def labels(spark: SparkSession, d: str, months: int = 3, p: DataFrame | None = None) -> DataFrame:
+    p = (panel(spark, d) if p is None else p).select("security_id", "date", "close")
+    start = asof.asof_backward(probes(spark, d, p).withColumn("target_date", F.add_months("as_of", months)), p, ["security_id"], "as_of", "date", [F.col("close").alias("close0")]).drop("fact_time")
     end = asof.resolve_forward(start, p, ["security_id"], "target_date", "date", "close")
     end = end.withColumn("r", F.when(F.col("close0") != 0, F.col("close") / F.col("close0") - 1)).where("r is not null")
     by = Window.partitionBy("as_of")

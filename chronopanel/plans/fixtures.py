@@ -44,13 +44,13 @@ def months(spark: SparkSession, d: str) -> DataFrame:
     return one.select(F.explode(F.expr(f"sequence(date '{a}', greatest(date '{a}', date '{z}'), interval 1 month)")).alias("as_of"))
 
 
-def probes(spark: SparkSession, d: str) -> DataFrame:
+def probes(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
     """Security and month start, from the first bar to 40 days past the last.
 
     The months are generated from each security's span, so there is no join.
     """
     a, z = month_bounds(spark, d)
-    span = panel(spark, d).groupBy("security_id").agg(F.min("date").alias("f"), F.max("date").alias("l"))
+    span = (panel(spark, d) if p is None else p).groupBy("security_id").agg(F.min("date").alias("f"), F.max("date").alias("l"))
     first = F.greatest(F.when(F.dayofmonth("f") == 1, F.col("f")).otherwise(F.add_months(F.trunc("f", "month"), 1)), F.lit(a).cast("date"))
     last = F.least(F.trunc(F.date_add("l", 40), "month"), F.lit(z).cast("date"))
     return span.where(first <= last).select("security_id", F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("as_of"))

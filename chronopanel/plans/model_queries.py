@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronopanel.operators import linear, models, splits
 from chronopanel.operators.crosssection import rank_correlation, safe_corr
 from chronopanel.plans.feature_queries import _F1, _LAB, FAMILIES, LADDER, family_features, features_at, features_of, labels
-from chronopanel.plans.fixtures import MONTHS, PANEL, PROBES, months
+from chronopanel.plans.fixtures import MONTHS, PANEL, PROBES, months, panel
 from chronopanel.plans.stats_queries import _SPLIT, _ic
 from chronopanel.session import checkpoint
 
@@ -32,8 +32,9 @@ FOLDS = 3
 
 def training_panel(spark: SparkSession, d: str, full: bool = False) -> DataFrame:
     """Complete rows (of X, or of all families) with label, class and part of the split; cut once, as every fit reads it many times."""
-    f = family_features(spark, d).dropna(subset=list(ALL)) if full else features_at(spark, d).select("security_id", "as_of", "history_length", "return_12m", *X).dropna(subset=list(X))
-    lab = labels(spark, d).select("security_id", "as_of", "y")
+    p = checkpoint(panel(spark, d).select("security_id", "date", "close", "volume"))  # features and labels read it
+    f = family_features(spark, d, p).dropna(subset=list(ALL)) if full else features_at(spark, d, p).select("security_id", "as_of", "history_length", "return_12m", *X).dropna(subset=list(X))
+    lab = labels(spark, d, p=p).select("security_id", "as_of", "y")
     parts = splits.primary_split(months(spark, d), "as_of", 0.6, 0.15, 0.25, 3)
     return checkpoint(f.join(lab, ["security_id", "as_of"]).join(F.broadcast(parts), "as_of").withColumn("z", (F.col("y") > 0).cast("double")))
 
