@@ -180,7 +180,7 @@ def M13(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"M5_baselines": M5, "M6_linear_models": M6, "M7_tree_models": M7, "M8_tuning": M8, "M10_history_diagnostic": M10, "M13_penalty_path": M13}
 _HAVE = " and ".join(f"{c} is not null" for c in X)
-_FIG = "round(avg(ic), 6) as mean_ic, round(median(ic), 6) as median_ic, round(stddev_samp(ic), 6) as sd_ic, round(avg(hit_rate), 6) as hit_rate, count(*) as dates"
+_FIG = "round(avg(ic), 6) as mean_ic, round(median(ic), 6) as median_ic, round(stddev_samp(ic), 6) as sd_ic, round(avg(hit_rate), 6) as hit_rate, count(n) as dates"
 SQL = {
-    "M5_baselines": f"with {PANEL}, {MONTHS}, {PROBES}, {_F1}, {_LAB}, {_SPLIT}, yy as (select security_id, as_of, r - avg(r) over (partition by as_of) as y from lab), v as (select f.as_of, return_12m, return_3m, y as r from fat f join yy on yy.security_id = f.sid and yy.as_of = f.as_of join pt on pt.as_of = f.as_of where part = 'validation' and {_HAVE}), sc as (select 'historical_mean' as model, as_of, coalesce(return_12m, 0) / 12 as score, r from v union all select 'momentum', as_of, return_3m, r from v), {_ic('sc', 'model, as_of')} select model, {_FIG} from per group by 1",
+    "M5_baselines": f"with {PANEL}, {MONTHS}, {PROBES}, {_F1}, {_LAB}, {_SPLIT}, yy as (select security_id, as_of, r - avg(r) over (partition by as_of) as y from lab), v as (select f.as_of, return_12m, return_3m, y as r from fat f join yy on yy.security_id = f.sid and yy.as_of = f.as_of join pt on pt.as_of = f.as_of where part = 'validation' and {_HAVE}), sc as (select 'historical_mean' as model, as_of, coalesce(return_12m, 0) / 12 as score, r from v union all select 'momentum', as_of, return_3m, r from v), {_ic('sc', 'model, as_of')} select k.model, {_FIG} from (select unnest(['historical_mean', 'momentum']) as model) k left join per on per.model = k.model group by 1",
 }
