@@ -1,15 +1,13 @@
-"""Linear, logistic and tree models on panels, with rank-correlation evaluation."""
+"""Linear and logistic models on panels, with rank-correlation evaluation."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,43 +68,7 @@ def fit_logistic(features: Sequence[str], label: str, c: float = 1.0) -> FitFunc
     return fit
 
 
-def fit_trees(features: Sequence[str], label: str, boosted: bool = False, *, trees: int = 50, depth: int = 4, least: int = 20, step: float = 0.05, seed: int = 20240613) -> FitFunc:
-    """Random forest over all features, or gradient boosting; no scaling."""
-
-    def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        asm = VectorAssembler(inputCols=list(features), outputCol="_x")
-        common = {"featuresCol": "_x", "labelCol": label, "predictionCol": "score", "maxDepth": depth, "minInstancesPerNode": least, "seed": seed}
-        est = GBTRegressor(maxIter=trees, stepSize=step, **common) if boosted else RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", subsamplingRate=1.0, **common)
-        model = est.fit(asm.transform(train))
-        return lambda df: model.transform(asm.transform(df)).drop("_x")
-
-    return fit
-
-
 def evaluate(scored: DataFrame, by: str, score: str, label: str, least: int = 5) -> DataFrame:
     """Per-date rank correlations, then their mean, median, deviation; hit rate over all dates kept."""
     per = rank_correlation(scored, [by], score, label, least)
     return per.agg(F.avg("ic").alias("mean_ic"), F.median("ic").alias("median_ic"), F.stddev_samp("ic").alias("sd_ic"), F.avg("hit_rate").alias("hit_rate"), F.count(F.lit(1)).alias("dates"))
-
-
-def tune(train: DataFrame, by: str, label: str, candidates: Sequence[FitFunc], folds: Sequence[tuple[Sequence[object], Sequence[object]]], parallel: int = 6) -> tuple[int, list[tuple[float | None, int]]]:
-    """Index of the candidate with the greatest mean of fold mean correlations, the first if all are undefined; and
-    of each candidate that mean and the number of folds that have one. Fits run side by side; all are evaluated in one job.
-    """
-    todo = [(c, f) for c in range(len(candidates)) for f in range(len(folds))]
-
-    def scored(at: tuple[int, int]) -> DataFrame:
-        c, f = at
-        inner, outer = (train.where(F.col(by).isin(list(x))) for x in folds[f])
-        return candidates[c](inner)(outer).select(F.lit(c).alias("_c"), F.lit(f).alias("_f"), by, "score", label)
-
-    got: dict[int, list[float]] = {c: [] for c in range(len(candidates))}
-    if todo:
-        with ThreadPool(parallel) as pool:
-            frames = pool.map(scored, todo, 1)
-        per = rank_correlation(reduce(DataFrame.unionByName, frames), ["_c", "_f", by], "score", label, 5)
-        for r in per.groupBy("_c", "_f").agg(F.avg("ic").alias("ic")).where("ic is not null").collect():  # a number for each fit
-            got[r["_c"]].append(r["ic"])
-    means = [(sum(x) / len(x) if x else None, len(x)) for _, x in sorted(got.items())]
-    known = [c for c, (m, _) in enumerate(means) if m is not None]
-    return max(known, key=lambda c: means[c][0], default=0), means

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.operators import linear, models, splits
+from chronopanel.operators import forest, linear, models, splits
 from chronopanel.operators.crosssection import rank_correlation, safe_corr
 from chronopanel.plans.feature_queries import _F1, _LAB, FAMILIES, LADDER, family_features, features_at, features_of, labels
 from chronopanel.plans.fixtures import MONTHS, PANEL, PROBES, months, panel
@@ -21,11 +25,13 @@ LINEAR = {
     "logistic": {f"C={c:g}": c for c in (0.03, 0.1, 0.3, 1.0, 3.0)},
     "elastic_net": {f"alpha={a:g}": a for a in (0.01, 0.003, 0.001, 0.0003, 0.0001, 0.00003)},
 }
-#: Fits of each tree model; a fit takes the features first.
+#: Settings of each tree model, by what a report calls them.
 TREES = {
-    "random_forest": {f"trees={n} depth={k} least={m}": (lambda x, n=n, k=k, m=m: models.fit_trees(x, "y", trees=n, depth=k, least=m)) for n in (100, 300) for k in (3, 5, 8) for m in (20, 50)},
-    "boosted_trees": {f"depth={k} step={r:g} trees={n} least={m}": (lambda x, n=n, k=k, m=m, r=r: models.fit_trees(x, "y", True, trees=n, depth=k, least=m, step=r)) for k in (2, 3) for r in (0.01, 0.05) for n in (50, 150) for m in (20, 50)},
+    "random_forest": {f"trees={n} depth={k} least={m}": {"trees": n, "depth": k, "least": m} for n in (100, 300) for k in (3, 5, 8) for m in (20, 50)},
+    "boosted_trees": {f"depth={k} step={r:g} trees={n} least={m}": {"trees": n, "depth": k, "least": m, "step": r} for k in (2, 3) for r in (0.01, 0.05) for n in (50, 150) for m in (20, 50)},
 }
+#: Rows of the training dates that trees are fitted on at most, drawn by hash; all rows of the validation dates are scored.
+TREE_ROWS = 50_000
 PENALTIES = (0.01, 0.003, 0.001, 0.0003, 0.0001, 0.00003, 0.00001)
 FOLDS = 3
 
@@ -59,21 +65,6 @@ def _folds(train: DataFrame) -> list[tuple[list, list]]:
     return [([dates[i] for i in a], [dates[i] for i in b]) for a, b in splits.inner_folds(len(dates), FOLDS, 3)]
 
 
-def _ladder(spark: SparkSession, d: str, grids: dict[str, dict], steps: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Each model on each step's features, tuned on the training dates, fitted on all of them, judged on validation."""
-    p = training_panel(spark, d, full=True)
-    train, val = p.where("part = 'train'"), p.where("part = 'validation'")
-    folds, out = _folds(train), None
-    for step, families in steps.items():
-        x = features_of(families)
-        for name, grid in grids.items():
-            best, _ = models.tune(train, "as_of", "y", [fit(x) for fit in grid.values()], folds)
-            chosen = list(grid)[best]
-            r = _report(spark, [(name, grid[chosen](x)(train)(val))]).select(F.lit(step).alias("step"), "*", F.lit(chosen).alias("chosen"))
-            out = r if out is None else out.unionByName(r)
-    return out
-
-
 def _fits(p: DataFrame, moments: dict, jobs: list[tuple[str, tuple[str, ...], float, list]]) -> list[np.ndarray]:
     """Coefficients over ALL of each job (model, features, penalty, dates): linear ones from sums, logistic ones all together."""
     place = {c: i for i, c in enumerate(ALL)}
@@ -139,8 +130,66 @@ def M6(spark: SparkSession, d: str) -> DataFrame:
 
 
 def M7(spark: SparkSession, d: str) -> DataFrame:
-    """The ladder, and all families but volume."""
-    return _ladder(spark, d, TREES, LADDER | {"full_v1_minus_volume_liquidity": tuple(x for x in FAMILIES if x != "volume_liquidity")})
+    """Forests and boosted trees on each step of the ladder, and on all families but volume: tuned, fitted and judged as the linear models.
+
+    Every fit is a task of its own on a bounded sample of the training rows
+    (TREE_ROWS, a parameter); the tuned trees score all rows of the validation
+    dates where these lie.
+    """
+    steps = LADDER | {"full_v1_minus_volume_liquidity": tuple(x for x in FAMILIES if x != "volume_liquidity")}
+    p = training_panel(spark, d, full=True)
+    train, val = p.where("part = 'train'"), p.where("part = 'validation'")
+    n = train.count()
+    sample = checkpoint(train.select("as_of", "y", F.array(*[F.col(c).cast("double") for c in ALL]).alias("x"), F.xxhash64("security_id", "as_of").alias("h")).where(F.lit(n <= TREE_ROWS) | (F.pmod("h", F.lit(1_000_000)) < F.lit(int(1_000_000 * TREE_ROWS / max(n, 1))))))
+    folds = _folds(train)
+    place = {c: i for i, c in enumerate(ALL)}
+    cols = {step: [place[c] for c in features_of(x)] for step, x in steps.items()}
+    grid = [(step, model, name) for step in steps for model, g in TREES.items() for name in g]
+
+    def fitted(pdf: pd.DataFrame, job: tuple[str, str, str], dates: list | None) -> forest.Trees:
+        step, model, name = job
+        t = pdf if dates is None else pdf[pdf["as_of"].isin(dates)]
+        t = t.sort_values(["as_of", "h"])
+        x = np.stack(t["x"].to_list())[:, cols[step]] if len(t) else np.zeros((0, len(cols[step])))
+        return forest.fit(x, t["y"].to_numpy(float), model == "boosted_trees", **TREES[model][name])
+
+    def tune(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, f = int(pdf["i"].iloc[0]), int(pdf["f"].iloc[0])
+        trees, o = fitted(pdf, grid[i], folds[f][0]), pdf[pdf["as_of"].isin(folds[f][1])]
+        ics = forest.rank_correlations(o["as_of"].to_numpy(), trees.predict(np.stack(o["x"].to_list())[:, cols[grid[i][0]]]), o["y"].to_numpy(float)) if len(o) else []
+        return pd.DataFrame({"i": [i], "f": [f], "ic": [float(np.mean(ics)) if ics else None]})
+
+    every = [F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(max(len(folds), 1) - 1))).alias("f")]
+    each = sample.select("*", every[0]).select("*", every[1]) if folds else None
+    means: dict[int, list[float]] = {}
+    if each is not None:
+        for r in each.groupBy("i", "f").applyInPandas(tune, "i int, f int, ic double").where("ic is not null").collect():  # a number for each fit
+            means.setdefault(r["i"], []).append(r["ic"])
+    best: dict[tuple[str, str], int] = {}
+    for i, (step, model, _) in enumerate(grid):
+        mean = lambda k: float(np.mean(means[k])) if k in means else -np.inf
+        if (step, model) not in best or mean(i) > mean(best[step, model]):
+            best[step, model] = i
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        i = int(pdf["i"].iloc[0])
+        return pd.DataFrame({"i": [i], "trees": [pickle.dumps(fitted(pdf, grid[i], None))]})
+
+    chosen = F.explode(F.array(*[F.lit(i) for i in best.values()])).alias("i")
+    done = {r["i"]: pickle.loads(r["trees"]) for r in sample.select("*", chosen).groupBy("i").applyInPandas(last, "i int, trees binary").collect()}  # a model per step
+
+    def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            if len(pdf):
+                x = np.stack(pdf["x"].to_list())
+                for i, trees in done.items():
+                    yield pd.DataFrame({"i": i, "as_of": pdf["as_of"], "score": trees.predict(x[:, cols[grid[i][0]]]), "y": pdf["y"]})
+
+    s = val.select("as_of", "y", F.array(*[F.col(c).cast("double") for c in ALL]).alias("x")).mapInPandas(score, "i int, as_of date, score double, y double")
+    per = rank_correlation(s, ["i", "as_of"], "score", "y", 5)
+    e = per.groupBy("i").agg(F.avg("ic").alias("mean_ic"), F.median("ic").alias("median_ic"), F.stddev_samp("ic").alias("sd_ic"), F.avg("hit_rate").alias("hit_rate"), F.count(F.lit(1)).alias("dates"))
+    names = spark.createDataFrame([(i, step, model, grid[i][2]) for (step, model), i in best.items()], "i int, step string, model string, chosen string")
+    return names.join(e, "i", "left").select("step", "model", *[F.round(c, 6).alias(c) for c in ("mean_ic", "median_ic", "sd_ic", "hit_rate")], F.coalesce("dates", F.lit(0).cast("long")).alias("dates"), "chosen")
 
 
 def M8(spark: SparkSession, d: str) -> DataFrame:

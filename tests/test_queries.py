@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chronopanel.operators import bootstrap, fold, linear, models
+from chronopanel.operators import bootstrap, fold, forest, linear, models
 from chronopanel.plans import backtest_queries, feature_queries, model_queries, registry, universe_queries
 from chronopanel.plans.fixtures import panel
 
@@ -123,31 +123,43 @@ def test_plan_has_all_rows_that_trading_needs(spark, sf):
         assert np.allclose(a[c], b[c], rtol=1e-9) if a[c].dtype.kind in "fi" else (a[c] == b[c]).all(), c
 
 
-def test_models_run_the_whole_grid(spark, sf, monkeypatch):
-    """Every candidate of the reference's grids, three folds, each step of the ladder, and the features of all families."""
-    d, calls, trees = sf.replace("sf0.001", "sf0.01"), [], []
+def test_models_run_the_whole_grid(spark, sf):
+    """Every candidate of the grids, three folds, each step of the ladder, and the features of all families."""
+    d = sf.replace("sf0.001", "sf0.01")
     assert len(model_queries.ALL) == len(set(model_queries.ALL)) == 18
-
-    def tune(train, by, label, candidates, folds, parallel=6):
-        calls.append((len(candidates), len(folds)))
-        return len(candidates) - 1, [(0.0, len(folds))] * len(candidates)
-
-    def fit_trees(x, label, boosted=False, **kw):
-        trees.append((boosted, len(x), kw["trees"], kw["depth"], kw["least"]))
-        return lambda train: lambda df: df.withColumn("score", F.col(x[0]))
-
-    monkeypatch.setattr(model_queries.models, "tune", tune)
-    monkeypatch.setattr(model_queries.models, "fit_trees", fit_trees)
+    assert [len(g) for g in model_queries.LINEAR.values()] == [5, 5, 6] and [len(g) for g in model_queries.TREES.values()] == [12, 16]
     tuned = registry.QUERIES["M8_tuning"](spark, d).collect()
     assert len(tuned) == 5 * (5 + 5 + 6) and all(r["folds"] == 3 for r in tuned) and sum(r["chosen"] for r in tuned) == 15
     fitted = registry.QUERIES["M6_linear_models"](spark, d).collect()
     assert {(r["step"], r["model"], r["chosen"]) for r in fitted} == {(r["step"], r["model"], r["candidate"]) for r in tuned if r["chosen"]} and all(r["dates"] for r in fitted)
-    assert registry.QUERIES["M7_tree_models"](spark, d).count() == 12 and sorted(calls) == [(12, 3)] * 6 + [(16, 3)] * 6
-    assert {n for _, n, *_ in trees} == {6, 9, 12, 15, 18} and {t[2:] for t in trees if not t[0]} == {(n, k, m) for n in (100, 300) for k in (3, 5, 8) for m in (20, 50)}
-    assert {t[2] for t in trees if t[0]} == {50, 150}
+    trees = registry.QUERIES["M7_tree_models"](spark, d).collect()
+    assert len(trees) == 12 and all(r["dates"] and r["chosen"] in model_queries.TREES[r["model"]] for r in trees)
     assert registry.QUERIES["M13_penalty_path"](spark, d).count() == 7
 
 
+def test_trees_split_where_a_search_over_all_cuts_does_and_learn():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 20, (300, 3)).astype(float)
+    y = np.where(x[:, 1] > 11, 3.0, 0.0) + np.where(x[:, 0] > 4, 1.0, 0.0) + rng.normal(0, 0.1, 300)
+    one = forest.fit(x, y, True, trees=1, depth=1, least=10, step=1.0)
+
+    def error(j, c):
+        a, b = y[x[:, j] <= c], y[x[:, j] > c]
+        return ((a - a.mean()) ** 2).sum() + ((b - b.mean()) ** 2).sum() if min(len(a), len(b)) >= 10 else np.inf
+
+    best = min(error(j, c) for j in range(3) for c in range(20))
+    assert ((y - one.predict(x)) ** 2).sum() == pytest.approx(best)
+    test = rng.integers(0, 20, (200, 3)).astype(float)
+    want = np.where(test[:, 1] > 11, 3.0, 0.0) + np.where(test[:, 0] > 4, 1.0, 0.0)
+    for boosted, kw in ((False, {}), (True, {"step": 0.1})):
+        got = forest.fit(x, y, boosted, trees=60, depth=3, least=5, **kw).predict(test)
+        assert np.sqrt(((got - want) ** 2).mean()) < 0.15
+    same = [forest.fit(x, y, False, trees=5, depth=3, least=5).predict(test) for _ in range(2)]
+    assert (same[0] == same[1]).all()
+    assert (forest.fit(np.zeros((0, 3)), np.zeros(0), False, trees=3, depth=2, least=1).predict(test) == 0).all()
+    assert forest.rank_correlations(np.repeat([1, 2, 3], [6, 6, 3]), np.r_[np.arange(6.0), np.zeros(6), 1.0, 2.0, 3.0], np.arange(15.0)) == [pytest.approx(1.0)]
+
+
 def test_grids_from_sums_equal_single_fits(spark):
     """The coefficients from moments and joint passes score as the engine's own solvers do."""
     rng = np.random.default_rng(6)
@@ -177,14 +189,6 @@ def test_grids_from_sums_equal_single_fits(spark):
         linear.logistic_all(df, "day", names, "z", [linear.Logit((0, 1, 2), frozenset(days), 0.3)], m, most=1)
 
 
-def test_tune_takes_the_best_mean_of_folds(spark):
-    df = spark.createDataFrame([(day, i, float((i * 7 + day) % 6)) for day in range(6) for i in range(6)], "as_of int, i int, y double")
-    flat, down, up = (lambda train, s=s: lambda x: x.withColumn("score", s * F.col("y")) for s in (0.0, -1.0, 1.0))
-    best, means = models.tune(df, "as_of", "y", [flat, down, up], [([0], [1, 2]), ([0, 1], [3])])
-    assert best == 2 and means[0] == (None, 0) and means[1] == (pytest.approx(-1), 2) and means[2] == (pytest.approx(1), 2)
-    assert models.tune(df, "as_of", "y", [flat, flat], [([0], [1])])[0] == 0
-
-
 def test_proxy_volatility_by_hand(spark, sf):
     p = panel(spark, sf).select("security_id", "date", "close").toPandas()
     days = sorted(p["date"].unique())
