@@ -31,7 +31,9 @@ TREES = {
     "boosted_trees": {f"depth={k} step={r:g} trees={n} least={m}": {"trees": n, "depth": k, "least": m, "step": r} for k in (2, 3) for r in (0.01, 0.05) for n in (50, 150) for m in (20, 50)},
 }
 #: Rows of the training dates that trees are fitted on at most, drawn by hash; all rows of the validation dates are scored.
-TREE_ROWS = 50_000
+TREE_ROWS = 25_000
+#: Tasks that share the fits; the sample is sent to each.
+TREE_TASKS = 64
 PENALTIES = (0.01, 0.003, 0.001, 0.0003, 0.0001, 0.00003, 0.00001)
 FOLDS = 3
 
@@ -132,8 +134,8 @@ def M6(spark: SparkSession, d: str) -> DataFrame:
 def M7(spark: SparkSession, d: str) -> DataFrame:
     """Forests and boosted trees on each step of the ladder, and on all families but volume: tuned, fitted and judged as the linear models.
 
-    Every fit is a task of its own on a bounded sample of the training rows
-    (TREE_ROWS, a parameter); the tuned trees score all rows of the validation
+    The fits are spread over TREE_TASKS tasks, each on a bounded sample of the
+    training rows (TREE_ROWS, a parameter); the tuned trees score all rows of the validation
     dates where these lie.
     """
     steps = LADDER | {"full_v1_minus_volume_liquidity": tuple(x for x in FAMILIES if x != "volume_liquidity")}
@@ -154,16 +156,18 @@ def M7(spark: SparkSession, d: str) -> DataFrame:
         return forest.fit(x, t["y"].to_numpy(float), model == "boosted_trees", **TREES[model][name])
 
     def tune(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, f = int(pdf["i"].iloc[0]), int(pdf["f"].iloc[0])
-        trees, o = fitted(pdf, grid[i], folds[f][0]), pdf[pdf["as_of"].isin(folds[f][1])]
-        ics = forest.rank_correlations(o["as_of"].to_numpy(), trees.predict(np.stack(o["x"].to_list())[:, cols[grid[i][0]]]), o["y"].to_numpy(float)) if len(o) else []
-        return pd.DataFrame({"i": [i], "f": [f], "ic": [float(np.mean(ics)) if ics else None]})
-
-    every = [F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(max(len(folds), 1) - 1))).alias("f")]
-    each = sample.select("*", every[0]).select("*", every[1]) if folds else None
+        out = []
+        for k in range(int(pdf["task"].iloc[0]), len(grid) * len(folds), TREE_TASKS):
+            i, f = divmod(k, len(folds))
+            trees, o = fitted(pdf, grid[i], folds[f][0]), pdf[pdf["as_of"].isin(folds[f][1])]
+            ics = forest.rank_correlations(o["as_of"].to_numpy(), trees.predict(np.stack(o["x"].to_list())[:, cols[grid[i][0]]]), o["y"].to_numpy(float)) if len(o) else []
+            out.append((i, f, float(np.mean(ics)) if ics else None))
+        return pd.DataFrame(out, columns=["i", "f", "ic"])
+
+    each = sample.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(TREE_TASKS - 1)))) if folds else None
     means: dict[int, list[float]] = {}
     if each is not None:
-        for r in each.groupBy("i", "f").applyInPandas(tune, "i int, f int, ic double").where("ic is not null").collect():  # a number for each fit
+        for r in each.repartition(TREE_TASKS, "task").groupBy("task").applyInPandas(tune, "i int, f int, ic double").where("ic is not null").collect():  # a number for each fit
             means.setdefault(r["i"], []).append(r["ic"])
     best: dict[tuple[str, str], int] = {}
     for i, (step, model, _) in enumerate(grid):
