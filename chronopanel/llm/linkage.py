@@ -18,18 +18,17 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 2))
 
 
-def common_words(rows: DataFrame, words: str, share: float = 0.002, least: int = 6, most: int = 200) -> list[str]:
+def common_words(rows: DataFrame, words: str, share: float = 0.002, least: int = 6) -> list[str]:
     """Words that too many rows have to tell one from another.
 
     Common is a word of more than `share` of the rows and of more than `least`
-    of them, and any word of more than `most`, so that rows that share another
-    word are few however many rows there are. In a text of w words on average
-    there are at most w / share of the first kind; the second kind is bounded
-    by the language.
+    of them, however many rows there are: in a text of w words on average there
+    are at most w / share. Any other word tells one from another, in a large
+    table also one of thousands of rows.
     """
     n = rows.count()
     df = rows.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return sorted(r["w"] for r in df.where(F.col("n") > min(max(least, share * n), most)).select("w").collect())
+    return sorted(r["w"] for r in df.where(F.col("n") > max(least, share * n)).select("w").collect())
 
 
 def without(words: Column, drop: list[str]) -> Column:

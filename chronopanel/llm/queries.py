@@ -88,6 +88,29 @@ def _near(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) == 1) | ((F.levenshtein(a, b) == 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)))
 
 
+#: Confidence from which a pair counts as one listing.
+LEAST_CONFIDENCE = 0.52
+#: Weight against any pair.
+PRIOR = 1.0
+
+
+def carried_on(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(security_id, rid) that an ISIN adds to pairs: all rows that have it, however many, with the one security it names.
+
+    It names the security that has more than half of the support of the pairs
+    which, by themselves, are matches of rows with it. Without such a pair no
+    other pair of the class can be one: no value is above the greatest that a
+    pair of the class has alone. Where no security has more than half, the ISIN
+    is no one listing's, and each row is left to what else it says. So there is
+    at most one pair a row, and the work grows with the rows.
+    """
+    sure = pairs.where(F.col("i_isin").isNotNull() & (F.col("support") >= LEAST_CONFIDENCE * (F.col("support") + F.col("against"))))
+    by = sure.groupBy("i_isin", "security_id").agg(F.sum("support").alias("s"))
+    by = by.groupBy("i_isin").agg(F.max_by("security_id", "s").alias("security_id"), F.max("s").alias("top"), F.sum("s").alias("s"))
+    named = by.where("2 * top > s").select(F.col("i_isin").alias("isin"), "security_id")
+    return rows.join(named, "isin").select("security_id", "rid").join(pairs.select("security_id", "rid"), ["security_id", "rid"], "left_anti")
+
+
 def listing_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs with support and grounds against, and each row's class of exact copies."""
     far_past, far_future = F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date")
@@ -143,41 +166,50 @@ def listing_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     by_phrase = phrases(sec.where("size(words) = 0").select("security_id", "text"), rep.where("size(words) = 0").select("rid", "text"), "text", "security_id", "rid")
     found = by_tick.unionByName(by_cik).unionByName(by_word).distinct()
     found = found.join(by_phrase.withColumn("phrase", F.lit(True)), ["security_id", "rid"], "full")
-    # An ISIN carries a match on to other rows, unless so many different rows have it that it names nothing.
-    same = rep.where("isin is not null").select("rid", "isin", F.count(F.lit(1)).over(Window.partitionBy("isin")).alias("n")).where("n between 2 and 200").drop("n")
-    by_isin = found.join(same, "rid").select("security_id", "isin").distinct().join(same, "isin").select("security_id", "rid")
-    cand = found.unionByName(by_isin.withColumn("phrase", F.lit(None).cast("boolean"))).groupBy("security_id", "rid").agg(F.bool_or("phrase").alias("phrase"))
-
     own = ticks.groupBy("security_id").agg(F.collect_list(F.struct("tick", "times")).alias("ticks"))
-    p = cand.join(rep.select("rid", "words", *said).toDF("rid", "i_words", *[f"i_{c}" for c in said]), "rid").join(sec, "security_id").join(own, "security_id", "left")
+    said_of = rep.select("rid", "words", *said).toDF("rid", "i_words", *[f"i_{c}" for c in said])
     mine = F.coalesce("ticks", F.array().cast(own.schema["ticks"].dataType))
     equal = lambda t: F.coalesce((t["tick"] == F.col("i_tick")) | (t["tick"] == F.col("i_tick2")), F.lit(False))
     during = lambda t: F.exists(t["times"], lambda x: (x["since"] < F.col("i_until")) & (F.col("i_since") < x["until"]))
     sim = F.when(F.col("phrase"), 1.0).otherwise(words_similarity(F.col("words"), F.col("i_words")))
-    p = p.select(
-        "security_id",
-        "rid",
-        "i_isin",
-        F.exists(mine, lambda t: equal(t) & during(t)).alias("t_now"),
-        F.exists(mine, equal).alias("t_ever"),
-        F.exists(mine, lambda t: F.coalesce(_near(t["tick"], F.col("i_tick")), F.lit(False)) & during(t)).alias("t_near"),
-        F.coalesce(F.col("cik") == F.col("i_cik"), F.lit(False)).alias("c_same"),
-        F.coalesce(_near(F.col("cik"), F.col("i_cik")), F.lit(False)).alias("c_near"),
-        F.coalesce(F.col("cik") != F.col("i_cik"), F.lit(False)).alias("c_diff"),
-        sim.alias("sim"),
-        F.coalesce(F.col("cls") != F.col("i_cls"), F.lit(False)).alias("k_diff"),
-        (F.col("cls").isNotNull() & F.col("i_cls").isNotNull() & (F.col("cls") == F.col("i_cls"))).alias("k_same"),
-    )
-    yes = lambda c, w: F.when(c, w).otherwise(0.0)
-    support = (
-        F.when(F.col("t_now"), 2.0).when(F.col("t_near"), 0.8).when(F.col("t_ever"), 0.4).otherwise(0.0)
-        + F.when(F.col("c_same"), 3.0).when(F.col("c_near"), 1.5).otherwise(0.0)
-        + F.coalesce(F.when(F.col("sim") >= 0.55, 4.0 * F.col("sim")), F.lit(0.0))
-        + yes(F.col("k_same"), 0.5)
-    )
-    against = 1.0 + yes(F.col("c_diff") & ~F.col("c_near"), 4.0) + yes(F.coalesce(F.col("sim") < 0.5, F.lit(False)), 8.0) + yes(F.col("k_diff") & ~F.col("t_now"), 12.0)
-    pairs = checkpoint(p.select("security_id", "rid", "i_isin", support.alias("support"), against.alias("against")))
-    return pairs, copies.select("identifier_id", "copy_of")
+
+    def scored(cand: DataFrame) -> DataFrame:
+        p = cand.join(said_of, "rid").join(sec, "security_id").join(own, "security_id", "left")
+        p = p.select(
+            "security_id",
+            "rid",
+            "i_isin",
+            F.exists(mine, lambda t: equal(t) & during(t)).alias("t_now"),
+            F.exists(mine, equal).alias("t_ever"),
+            F.exists(mine, lambda t: F.coalesce(_near(t["tick"], F.col("i_tick")), F.lit(False)) & during(t)).alias("t_near"),
+            F.coalesce(F.col("cik") == F.col("i_cik"), F.lit(False)).alias("c_same"),
+            F.coalesce(_near(F.col("cik"), F.col("i_cik")), F.lit(False)).alias("c_near"),
+            F.coalesce(F.col("cik") != F.col("i_cik"), F.lit(False)).alias("c_diff"),
+            sim.alias("sim"),
+            F.coalesce(F.col("cls") != F.col("i_cls"), F.lit(False)).alias("k_diff"),
+            (F.col("cls").isNotNull() & F.col("i_cls").isNotNull() & (F.col("cls") == F.col("i_cls"))).alias("k_same"),
+        )
+        yes = lambda c, w: F.when(c, w).otherwise(0.0)
+        support = (
+            F.when(F.col("t_now"), 2.0).when(F.col("t_near"), 0.8).when(F.col("t_ever"), 0.4).otherwise(0.0)
+            + F.when(F.col("c_same"), 3.0).when(F.col("c_near"), 1.5).otherwise(0.0)
+            + F.coalesce(F.when(F.col("sim") >= 0.55, 4.0 * F.col("sim")), F.lit(0.0))
+            + yes(F.col("k_same"), 0.5)
+        )
+        against = PRIOR + yes(F.col("c_diff") & ~F.col("c_near"), 4.0) + yes(F.coalesce(F.col("sim") < 0.5, F.lit(False)), 8.0) + yes(F.col("k_diff") & ~F.col("t_now"), 12.0)
+        return p.select("security_id", "rid", "i_isin", support.alias("support"), against.alias("against"))
+
+    pairs = checkpoint(scored(found))
+    carried = carried_on(pairs, rep.where("isin is not null").select("rid", "isin"))
+    more = checkpoint(scored(carried.withColumn("phrase", F.lit(None).cast("boolean"))))
+    # Rows that say nothing but one ISIN are one statement, like exact copies, and matched once.
+    bare = more.where((F.col("support") == 0) & (F.col("against") == PRIOR)).select("rid", "i_isin").join(pairs.select("rid"), "rid", "left_anti")
+    bare = checkpoint(bare.join(bare.groupBy("i_isin").agg(F.min("rid").alias("first")), "i_isin").select("rid", "first"))
+    # One that speaks against the security and in nothing for it is not drawn along and draws nothing down.
+    alike = F.when((F.col("support") > 0) | (F.col("against") == PRIOR), F.col("i_isin"))
+    more = more.join(bare.where("rid <> first"), "rid", "left_anti").withColumn("i_isin", alike).select(*pairs.columns)
+    copies = copies.join(bare.withColumnRenamed("rid", "copy_of"), "copy_of", "left").select("identifier_id", F.coalesce("first", "copy_of").alias("copy_of"))
+    return pairs.unionByName(more), copies
 
 
 def p5_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -187,10 +219,6 @@ def p5_matches(spark: SparkSession, d: str) -> DataFrame:
     return scored.join(copies, scored.rid == copies.copy_of).select("security_id", "identifier_id", F.round("confidence", 6).alias("confidence"))
 
 
-#: Confidence from which a pair counts as one listing.
-LEAST_CONFIDENCE = 0.52
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_matches(spark, d).where(F.col("confidence") >= LEAST_CONFIDENCE).select("security_id", "identifier_id")
 
